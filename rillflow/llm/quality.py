@@ -78,7 +78,7 @@ def features(words: Words, kind: np.ndarray, data: np.ndarray, offsets: np.ndarr
     place = np.arange(len(who)) + who * STATS
     index[place], values[place] = (h[at] >> U(64 - BITS)).astype(np.int64), value
     tail = cut[1:, None] - STATS + np.arange(STATS)
-    index[tail], values[tail] = WORDS + np.arange(STATS) * STEPS + step, 0.3
+    index[tail], values[tail] = WORDS + np.arange(STATS) * STEPS + step, 1.0
     return index, values, cut
 
 
@@ -98,10 +98,11 @@ class Machine:
     def score(self, index: np.ndarray, values: np.ndarray, cut: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(index, values, cut)[0], -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.1, decay: float = 1e-5) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 2000, least: int = 3, batch: int = 32, rate: float = 0.1, decay: float = 1e-5) -> None:
+        """At least ``steps`` batches, and every row at least ``least`` times."""
         rng = np.random.default_rng(11)
         gw, gv, gb = np.full(self.w.shape, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
-        for _ in range(epochs):
+        for _ in range(max(least, -(-steps // -(-len(rows) // batch)))):
             order = rng.permutation(len(rows))
             for i in range(0, len(rows), batch):
                 some = order[i : i + batch]
