@@ -98,7 +98,7 @@ class Machine:
     def score(self, index: np.ndarray, values: np.ndarray, cut: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(index, values, cut)[0], -30, 30)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 2000, least: int = 3, batch: int = 32, rate: float = 0.1, decay: float = 1e-5) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 1000, least: int = 3, batch: int = 32, rate: float = 0.1, decay: float = 1e-5) -> None:
         """At least ``steps`` batches, and every row at least ``least`` times."""
         rng = np.random.default_rng(11)
         gw, gv, gb = np.full(self.w.shape, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
