@@ -14,12 +14,14 @@ from collections.abc import Callable
 
 import regex
 
+#: White space in other than lone spaces and lone line feeds: such texts are cut by SAFE.
+ODD = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 #: A space between two characters that are no white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Words(dict):
-    """Bytes by word; ``lead`` is what stands before each of them.  Words of letters alone are kept."""
+    """Bytes by word; ``lead`` is what stands before each of them.  Long ones are not kept."""
 
     def __init__(self, lead: str, owner: PartCache):
         super().__init__()
@@ -33,21 +35,25 @@ class _Words(dict):
             if found is None:
                 found = owner.piece(self.lead + part)
             if len(part) <= 64:
-                self[part] = found
-                if len(self) > owner.limit:
-                    self.old = dict(self)
-                    self.clear()
+                self._keep(part, found)
             return found
         word, last = part[:-1], part[-1:]
         if last in owner.marks and word.isalpha():
-            return self[word] + owner.marks[last]
-        lines = part.split("\n")
-        if len(lines) > 1 and all(x and not any(map(str.isspace, x)) for x in lines):
-            out = [self[lines[0]]]
-            for x in lines[1:]:
-                out += (owner.line, owner.first[x])
-            return b"".join(out)
-        return b"".join([owner.any(x) for x in owner.split(self.lead + part)])
+            known = self.get(word)
+            if known is None:
+                return self[word] + owner.marks[last]
+            self._keep(part, known + owner.marks[last])  # a word that came before
+            return known + owner.marks[last]
+        found = b"".join([owner.any(x) for x in owner.split(self.lead + part)])
+        if len(part) <= 32:
+            self._keep(part, found)
+        return found
+
+    def _keep(self, part: str, found: bytes) -> None:
+        self[part] = found
+        if len(self) > self.owner.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class PartCache:
@@ -80,9 +86,15 @@ class PartCache:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        lone = len(text.split()) == text.count(" ") + text.count("\n") + 1
-        cut = text.split(" ") if lone else SAFE.split(text)
-        return self.first[cut[0]] + b"".join(map(self.after.__getitem__, cut[1:]))
+        first, after = self.first.__getitem__, self.after.__getitem__
+        if text[0].isspace() or text[-1].isspace() or any(x in text for x in ODD):
+            cut = SAFE.split(text)
+            return first(cut[0]) + b"".join(map(after, cut[1:]))
+        out = []  # lone spaces, and lone line feeds, which are pieces of their own
+        for line in text.split("\n"):
+            word, *words = line.split(" ")
+            out.append(first(word) + b"".join(map(after, words)))
+        return self.line.join(out)
 
 
 def byte_letters() -> list[str]:

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from . import tokenizer_files
 
 BLOCK, PAGE, END = 2048, 1 << 16, 2
+#: So many rows of two numbers, 16 MB, are broadcast at the most; beyond that they are joined.
+SHARDS = 1_000_000
 PERCENTILES = (75, 90, 95, 99, 100)
 PAGES = "shard int, page int, first long, n long, block_at array<int>, payload binary, doc_id array<long>, doc_n array<long>"
 HEAD, HEAD_SIZE = "<HBIH", 9
@@ -46,27 +48,25 @@ def pack_block(values: np.ndarray) -> bytes:
     """One block of 1 to 65,535 unsigned values below 2**32."""
     low = int(values.min())
     delta = (values - low).astype(np.uint32)
-    bits = np.zeros(len(delta), dtype=np.int64)
-    np.ceil(np.log2(delta.astype(np.float64) + 1), out=(size := np.zeros(len(delta))))
-    bits[:] = size
+    bits = np.frexp(delta.astype(np.float64))[1]
     count = np.cumsum(np.bincount(bits, minlength=33))  # values that fit each width
     widths = {int(np.searchsorted(count, p * len(delta) / 100)) for p in PERCENTILES}
     width = min(widths, key=lambda w: (len(delta) * w / 8 + 6 * (len(delta) - count[w]), w))
-    late = np.flatnonzero(bits > width)
-    shown = delta & np.uint32((1 << width) - 1) if width < 32 else delta
-    raw = shown.astype("<u4").view(np.uint8).reshape(-1, 4)
-    packed = np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].reshape(-1), bitorder="little").tobytes() if width else b""
+    late = np.flatnonzero(bits > width) if count[width] < len(delta) else bits[:0]
+    lane = 16 if width <= 16 else 32
+    raw = delta.astype(f"<u{lane // 8}").view(np.uint8)
+    packed = np.packbits(np.unpackbits(raw, bitorder="little").reshape(-1, lane)[:, :width].reshape(-1), bitorder="little").tobytes() if width else b""
     return struct.pack(HEAD, len(delta), width, low, len(late)) + packed + late.astype("<u2").tobytes() + delta[late].astype("<u4").tobytes()
 
 
 def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     n, width, low, late = struct.unpack_from(HEAD, data, at)
     at += HEAD_SIZE
-    size = (n * width + 7) // 8
-    bits = np.zeros((n, 32), dtype=np.uint8)
+    size, lane = (n * width + 7) // 8, 16 if width <= 16 else 32
+    bits = np.zeros((n, lane), dtype=np.uint8)
     if width:
         bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    out = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1).copy()
+    out = np.packbits(bits.reshape(-1), bitorder="little").view(f"<u{lane // 8}").astype("<u4")
     at += size
     if late:
         out[np.frombuffer(data, "<u2", late, at)] = np.frombuffer(data, "<u4", late, at + 2 * late)
@@ -130,8 +130,9 @@ def write(docs: DataFrame, path: str, folder: str | None = None) -> None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files."""
     table = spark.read.schema(PAGES).parquet(path)
-    # One row a shard: as many as the files, whatever they hold.
+    # One row a shard: as many as the writer's partitions, whatever they hold.
     sizes = table.groupBy("shard").agg(F.sum("n").alias("n"))
+    few = sizes.count() <= SHARDS
     before = sizes.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = table.select("shard", "first", "n", "block_at", "payload", "doc_id", "doc_n").mapInArrow(documents, "shard int, place long, doc_id long, n_tokens long, ids binary")
-    return rows.select("shard", "place", "doc_id", "n_tokens", "ids").join(before, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return rows.select("shard", "place", "doc_id", "n_tokens", "ids").join(F.broadcast(before) if few else before, "shard").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
