@@ -187,6 +187,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands:
     members = scratch.put(members, "members")
     grouped = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
     found = scratch.put(grouped.select("band", "key", "lo", "hi", "doc", "text").mapInArrow(lambda b: links(b, size, percent), "a long, b long").distinct(), "links")
+    scratch.drop("heads", "buckets", "members")
+    scratch.release()
     joined = classes
     if is_empty(found):
         joined = joined.withColumn("component", F.col("doc"))

@@ -172,9 +172,12 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch
     hot = scratch.put(index.rows().filter("places > 1").select("print"), "hot")
     hits = printed.select("doc", F.explode("keys").alias("print")).join(hot, "print").groupBy("doc").agg(F.collect_set("print").alias("hot"))
     hits = scratch.put(hits, "hits")
-    scratch.drop("prints", *(n for n, _ in index.runs))
+    scratch.drop("prints", "hot", *(n for n, _ in index.runs))
+    scratch.release()
     found = texts.select(doc, "doc_id", "text").join(hits, "doc", "left").select("doc_id", "text", "hot").mapInArrow(lambda b: candidates(b, size, gram), FOUND)
     found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "windows")
+    scratch.drop("hits")
+    scratch.release()
     each = found.filter("text is not null").select("row", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("row", "x.at", "x.w1", "x.w2")
     repeats = scratch.put(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "repeats")
     covered = each.join(repeats, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("cover"))

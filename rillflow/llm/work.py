@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def is_empty(frame: DataFrame) -> bool:
     return not frame.take(1)
