@@ -47,7 +47,7 @@ def exact_duplicates(docs: DataFrame, first: int = FIRST, growth: int = GROWTH)
         groups = left.groupBy("group", digit.alias("digit")).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
         # Groups of one row are left out: a row without a partner here is alone.  A written number names each other group.
         groups = scratch.put(groups.filter("n > 1").withColumn("next", F.monotonically_increasing_id()), f"groups-{level}")
-        split = left.select("doc_id", "group", "sha", digit.alias("digit"), rest.alias("rest")).join(groups, ["group", "digit"], "left")
+        split = left.select("doc_id", "group", "sha", digit.alias("digit"), rest.alias("rest")).join(groups.hint("merge"), ["group", "digit"], "left")
         open_ = F.col("n").isNotNull() & (F.octet_length("digit") == width)
         step = split.select("doc_id", "sha", F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("low"), open_.alias("open"), F.when(open_, F.col("next")).alias("group"), F.when(open_, F.col("rest")).alias("rest"))
         step = scratch.put(step, f"level-{level}")
