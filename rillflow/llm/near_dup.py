@@ -177,15 +177,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands:
     whole = ["set1", "set2", "n_shingles"]
     known = sign.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.put(known.groupBy(*whole).agg(F.min("doc_id").alias("doc")), "classes")
-    heads = known.join(classes, whole).filter("doc_id = doc").select("doc", "bands")
+    heads = known.join(classes.hint("merge"), whole).filter("doc_id = doc").select("doc", "bands")
     banded = scratch.put(heads.dropDuplicates(["doc", "bands"]), "heads").select("doc", F.posexplode("bands").alias("band", "key"))
     counts = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc").alias("x0"), F.max("doc").alias("x1"), F.bit_xor(F.xxhash64("doc")).alias("x2"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x3")).filter("n > 1")
     buckets = scratch.put(counts.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min(F.struct("band", "key")).alias("own")).select("own.*", "n"), "buckets")
     many = F.ceil(F.col("n") / block)
-    members = banded.join(buckets, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc"), many)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    members = banded.join(buckets.hint("merge"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc"), many)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
     members = members.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc")
     members = scratch.put(members, "members")
-    grouped = members.join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+    grouped = members.join(texts.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
     found = scratch.put(grouped.select("band", "key", "lo", "hi", "doc", "text").mapInArrow(lambda b: links(b, size, percent), "a long, b long").distinct(), "links")
     scratch.drop("heads", "buckets", "members")
     scratch.release()
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands:
         reached = scratch.put(components(scratch, found), "components")
         joined = joined.join(reached, joined["doc"] == reached["v"], "left").withColumn("component", F.coalesce("component", "doc"))
     joined = scratch.put(joined.select(*whole, "component"), "joined")
-    out = sign.drop("bands").join(joined, whole, "left")
+    out = sign.drop("bands").join(joined.hint("merge"), whole, "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
