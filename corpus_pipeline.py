@@ -30,7 +30,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept; a null id counts as an id."""
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = pii.extract(docs).filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.max("spans").alias("spans"))
-    out = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    out = docs.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.redact(F.col("text"), F.col("spans")))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 
