@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U, Words, buffers, spans
 
-BITS, RANK, STEPS, SAMPLE, THRESHOLD = 16, 8, 16, 20_000, 0.3
+BITS, RANK, STEPS, SAMPLE, THRESHOLD = 16, 8, 16, 8_000, 0.3
 WORDS = 1 << BITS
 CLASSES = ("upper", "punctuation", "digit", "other", "mark", "line")
 STATS = len(CLASSES) + 8
