@@ -180,6 +180,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch
     scratch.release()
     each = found.filter("text is not null").select("row", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("row", "x.at", "x.w1", "x.w2")
     repeats = scratch.put(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "repeats")
+    scratch.release()
     covered = each.join(repeats, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("cover"))
     marked = found.filter("text is not null").select("row", "doc_id", "text", "n_words").join(covered, "row", "left")
     clean = found.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
