@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, buffers, spans, windows, within
-from .work import Scratch
+from .work import Scratch, is_empty
 
 SIZE, GRAM, FAN, BATCHES = 35, 12, 3, 4
 FOUND = "doc_id long, n_words long, kept_sha256 string, text string, at array<int>, w1 array<long>, w2 array<long>"
@@ -178,10 +178,23 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch
     found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "windows")
     scratch.drop("hits")
     scratch.release()
-    each = found.filter("text is not null").select("row", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("row", "x.at", "x.w1", "x.w2")
-    repeats = scratch.put(each.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "repeats")
+
+    def each(*hashes: str) -> DataFrame:
+        """A row for each window compared, with these hashes of it."""
+        exploded = found.filter("text is not null").select("row", F.explode(F.arrays_zip("at", *hashes)).alias("x"))
+        return exploded.select("row", "x.at", *[f"x.{h}" for h in hashes])
+
+    # One half of the hash is the key; where the other half differs under it, both halves are.
+    counted = each("w1", "w2").groupBy("w1").agg(F.count("*").alias("n"), F.min("w2").alias("low"), F.max("w2").alias("high")).filter("n > 1")
+    repeats = scratch.put(counted.select("w1", (F.col("low") != F.col("high")).alias("mixed")), "repeats")
+    del counted
     scratch.release()
-    covered = each.join(repeats, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("cover"))
+    again = each("w1").join(repeats.filter("not mixed").select("w1").hint("merge"), "w1").select("row", "at")
+    if not is_empty(repeats.filter("mixed")):
+        some = each("w1", "w2").join(repeats.filter("mixed").select("w1"), "w1")
+        twice = scratch.put(some.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "mixed")
+        again = again.unionByName(some.join(twice, ["w1", "w2"]).select("row", "at"))
+    covered = again.groupBy("row").agg(F.collect_list("at").alias("cover"))
     marked = found.filter("text is not null").select("row", "doc_id", "text", "n_words").join(covered, "row", "left")
     clean = found.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return clean.unionByName(marked.select("doc_id", "text", "cover", "n_words").mapInArrow(lambda b: removed(b, size), OUT))

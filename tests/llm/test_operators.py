@@ -252,6 +252,14 @@ def test_repeated_passages(docs, rows, empty, repeated):
     same(collected(substring.repeated_passages(repeated, size=3, gram=2)), brute.passages([(r.doc_id, r.text) for r in repeated.collect()], 3))
 
 
+def test_repeated_passages_whose_hashes_meet_in_one_half(docs, rows, monkeypatch):
+    import numpy as np
+
+    plain = substring.windows
+    monkeypatch.setattr(substring, "windows", lambda words, size, seed: plain(words, size, seed) & np.uint64(0xF if seed == 61 else 2**64 - 1))
+    same(collected(substring.repeated_passages(docs)), brute.passages(rows))
+
+
 def test_queries_have_the_columns_of_their_contracts(spark, sf_dir):
     found = queries.queries()
     assert [n.split("_")[0] for n in found][:10] == [f"op{k}" for k in range(1, 11)] and "pipeline" in found
