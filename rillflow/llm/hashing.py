@@ -45,7 +45,7 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def spans(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def spans(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Rows i to j whose bytes together are ``most`` at the most, or one row that is longer."""
     i, n = 0, len(offsets) - 1
     while i < n:

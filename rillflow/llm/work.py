@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -29,6 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+#: While a table is written: rows that one Arrow batch sends to Python.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings that hold within the block; names with __ for dots."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Scratch:
     """Parquet tables of one run of an operator.
 
@@ -43,7 +62,8 @@ class Scratch:
 
     def put(self, frame: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
-        frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+            frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
