@@ -52,8 +52,8 @@ class Scratch:
     """Parquet tables of one run of an operator.
 
     ``put`` writes a frame and reads it again: that cuts the lineage, so a lost
-    executor costs no more than the step that was running.  Tables that no
-    result reads any more go with ``drop``.
+    executor costs no more than the step that was running.  The step's shuffle
+    files go when it ends.  Tables that no result reads any more go with ``drop``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -62,7 +62,8 @@ class Scratch:
 
     def put(self, frame: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
-        with settings(self.spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+        held = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+        with settings(self.spark, **held):
             frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
