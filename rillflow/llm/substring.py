@@ -6,7 +6,9 @@ smallest run of a document, about a twelfth of its windows, and misses nothing.
 Each batch of documents becomes a sorted immutable run of (fingerprint, places);
 when there are more than ``FAN`` runs they are merged into one.  Batches are
 merge-joined with the runs: only windows whose fingerprint has two places or
-more are compared, by 128-bit hashes of all their words.
+more are compared.  Consecutive windows with one fingerprint are a stretch;
+equal stretches, by 128-bit hashes, are opened once, and the windows in them
+compared by 128-bit hashes of all their words.
 
 Defined cases: null or empty text has no words, removes nothing and keeps the
 hash of the empty string; windows that overlap in one document count as two
@@ -22,14 +24,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, buffers, spans, windows, within
-from .work import Scratch, is_empty
+from .hashing import U, Words, buffers, mix, spans, stream, windows
+from .work import Scratch
 
 SIZE, GRAM, FAN, BATCHES = 35, 12, 3, 4
-FOUND = "doc_id long, n_words long, kept_sha256 string, text string, at array<int>, w1 array<long>, w2 array<long>"
+FOUND = "doc_id long, n_words long, kept_sha256 string, text string, at array<int>, size array<int>, s1 array<long>, s2 array<long>"
+WINDOWS = "row long, at int, w1 long, w2 long, weight int"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -96,52 +100,79 @@ class FingerprintIndex:
             self.scratch.drop(*old)
 
 
+def sequences(values: np.ndarray, begin: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the values from each of ``begin`` up to the next."""
+    if not len(values):
+        return values
+    length = np.diff(np.append(begin, len(values)))
+    step = np.arange(len(values)) - np.repeat(begin, length)
+    powers = np.full(int(length.max()), stream(seed, 1)[0] | U(1), dtype=np.uint64)
+    return mix(np.add.reduceat(values * np.multiply.accumulate(powers)[step], begin) + length.astype(np.uint64))
+
+
 def candidates(batches: Iterator[pa.RecordBatch], size: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows whose fingerprint is in the row's ``hot``; a row without any is finished here."""
+    """The stretches of windows with one fingerprint of the row's ``hot``, and hashes of them; a row without any is finished here."""
     words, second = Words(41, lower=False), Words(42, lower=False)
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         texts, hots = batch.column(1), batch.column(2)
         hot_values, hot_at = hots.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(np.array(hots.value_lengths().fill_null(0)))])
-        n_words, shas, kept, at, w1, w2 = [], [], [], [], [], []
+        n_words, shas, kept, at, length, s1, s2 = [], [], [], [], [], [], []
         for d in range(batch.num_rows):
             part = data[offsets[d] : offsets[d + 1]]
             hot = hot_values[hot_at[d] : hot_at[d + 1]]
             if len(hot):
-                off = np.array([0, len(part)])
-                starts, ends, _ = words.borders(part, off)
+                starts, ends, _ = words.borders(part, np.array([0, len(part)]))
                 hashes = words.hashes(part, starts, ends)
                 least = smallest(windows(hashes, gram, 51), size - gram + 1)
                 hot = np.sort(hot)
                 near = hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)]
                 where = np.flatnonzero(near == least)
+                begin = np.flatnonzero(np.concatenate([[True], (np.diff(where) > 1) | (least[where[1:]] != least[where[:-1]])])[: len(where)])
                 n_words.append(len(starts))
                 shas.append(None)
                 kept.append(True)
-                at.append(where.astype(np.int32))
-                for out, h, seed in ((w1, hashes, 61), (w2, second.hashes(part, starts, ends), 62)):
-                    out.append(windows(h, size, seed)[where].view(np.int64))
+                at.append(where[begin].astype(np.int32))
+                length.append(np.diff(np.append(begin, len(where))).astype(np.int32))
+                for out, h, seed in ((s1, hashes, 61), (s2, second.hashes(part, starts, ends), 62)):
+                    out.append(sequences(windows(h, size, seed)[where], begin, seed + 10).view(np.int64))
             else:
                 own = part.tobytes().split()
                 n_words.append(len(own))
                 shas.append(hashlib.sha256(b" ".join(own)).hexdigest())
                 kept.append(False)
-                at.append(np.zeros(0, np.int32))
-                w1.append(np.zeros(0, np.int64))
-                w2.append(np.zeros(0, np.int64))
+                for out, kind in ((at, np.int32), (length, np.int32), (s1, np.int64), (s2, np.int64)):
+                    out.append(np.zeros(0, kind))
         cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x))) for x in (at, w1, w2)] if batch.num_rows else [pa.array([], pa.list_(t)) for t in (pa.int32(), pa.int64(), pa.int64())]
-        import pyarrow.compute as pc
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x) if x else np.zeros(0, kind))) for x, kind in ((at, np.int32), (length, np.int32), (s1, np.int64), (s2, np.int64))]
+        own_texts = pc.if_else(pa.array(kept, pa.bool_()), texts, pa.scalar(None, texts.type)).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), own_texts, *lists], names=["doc_id", "n_words", "kept_sha256", "text", "at", "size", "s1", "s2"])
 
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas, pa.string()), pc.if_else(pa.array(kept, pa.bool_()), texts, pa.scalar(None, texts.type)).cast(pa.string()), *lists], names=["doc_id", "n_words", "kept_sha256", "text", "at", "w1", "w2"])
 
+def opened(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the stretches (at, size, weight) of a document, with 128 bits of hash over all its words."""
+    words, second = Words(41, lower=False), Words(42, lower=False)
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        rows, stretches = batch.column(0).to_numpy(), batch.column(2)
+        at, length, weight = (stretches.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+        cuts = np.concatenate([[0], np.cumsum(np.array(stretches.value_lengths()))])
+        for d in range(batch.num_rows):
+            part = data[offsets[d] : offsets[d + 1]]
+            own = slice(cuts[d], cuts[d + 1])
+            n = length[own]
+            where = np.repeat(at[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            starts, ends, _ = words.borders(part, np.array([0, len(part)]))
+            both = [windows(w.hashes(part, starts, ends), size, seed)[where].view(np.int64) for w, seed in ((words, 61), (second, 62))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(where), rows[d])), pa.array(where.astype(np.int32)), *(pa.array(x) for x in both), pa.array(np.repeat(weight[own], n).astype(np.int32))], names=["row", "at", "w1", "w2", "weight"])
 
-def without(text: bytes, at: np.ndarray, size: int) -> list[bytes]:
-    """The words of a text that no window starting at one of ``at`` covers."""
+
+def without(text: bytes, at: np.ndarray, length: np.ndarray, size: int) -> list[bytes]:
+    """The words of a text that no window covers; ``length`` windows start at each of ``at`` and the words after it."""
     words = text.split()
     step = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(step, at, 1)
-    np.add.at(step, np.minimum(at + size, len(words)), -1)
+    np.add.at(step, np.minimum(at + length + size - 1, len(words)), -1)
     left = np.cumsum(step[:-1]) == 0
     return [words[i] for i in np.flatnonzero(left)]
 
@@ -149,8 +180,12 @@ def without(text: bytes, at: np.ndarray, size: int) -> list[bytes]:
 def removed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, shas = [], []
-        for text, at, total in zip(batch.column(1), batch.column(2), batch.column(3)):
-            left = without(text.as_py().encode(), np.array(at.as_py() or [], dtype=np.int64), size)
+        cover = batch.column(2)
+        at, length = (cover.flatten().field(k).to_numpy().astype(np.int64) for k in range(2))
+        cuts = np.concatenate([[0], np.cumsum(np.array(cover.value_lengths().fill_null(0)))])
+        for d, (text, total) in enumerate(zip(batch.column(1), batch.column(3))):
+            own = slice(cuts[d], cuts[d + 1])
+            left = without(text.as_py().encode(), at[own], length[own], size)
             n.append(total.as_py() - len(left))
             shas.append(hashlib.sha256(b" ".join(left)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(n, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -173,28 +208,24 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch
     hits = printed.select("doc", F.explode("keys").alias("print")).join(hot, "print").groupBy("doc").agg(F.collect_set("print").alias("hot"))
     hits = scratch.put(hits, "hits")
     scratch.drop("prints", "hot", *(n for n, _ in index.runs))
-    scratch.release()
     found = texts.select(doc, "doc_id", "text").join(hits, "doc", "left").select("doc_id", "text", "hot").mapInArrow(lambda b: candidates(b, size, gram), FOUND)
-    found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "windows")
+    found = scratch.put(found.withColumn("row", F.monotonically_increasing_id()), "found")
     scratch.drop("hits")
-    scratch.release()
-
-    def each(*hashes: str) -> DataFrame:
-        """A row for each window compared, with these hashes of it."""
-        exploded = found.filter("text is not null").select("row", F.explode(F.arrays_zip("at", *hashes)).alias("x"))
-        return exploded.select("row", "x.at", *[f"x.{h}" for h in hashes])
-
-    # One half of the hash is the key; where the other half differs under it, both halves are.
-    counted = each("w1", "w2").groupBy("w1").agg(F.count("*").alias("n"), F.min("w2").alias("low"), F.max("w2").alias("high")).filter("n > 1")
-    repeats = scratch.put(counted.select("w1", (F.col("low") != F.col("high")).alias("mixed")), "repeats")
-    del counted
-    scratch.release()
-    again = each("w1").join(repeats.filter("not mixed").select("w1").hint("merge"), "w1").select("row", "at")
-    if not is_empty(repeats.filter("mixed")):
-        some = each("w1", "w2").join(repeats.filter("mixed").select("w1"), "w1")
-        twice = scratch.put(some.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "mixed")
-        again = again.unionByName(some.join(twice, ["w1", "w2"]).select("row", "at"))
-    covered = again.groupBy("row").agg(F.collect_list("at").alias("cover"))
-    marked = found.filter("text is not null").select("row", "doc_id", "text", "n_words").join(covered, "row", "left")
+
+    # Equal stretches become one class; one stretch of it is opened into windows, which count twice if the class has more.
+    hot = found.filter("text is not null")
+    stretches = hot.select("row", F.explode(F.arrays_zip("at", "size", "s1", "s2")).alias("x")).select("row", "x.*")
+    classes = stretches.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "size")).alias("own"))
+    classes = scratch.put(classes, "classes")
+    weight = F.when(F.col("n") > 1, 2).otherwise(1).alias("weight")
+    opening = classes.select("own.*", weight).groupBy("row").agg(F.collect_list(F.struct("at", "size", "weight")).alias("stretches"))
+    single = hot.select("row", "text").join(opening.hint("merge"), "row").mapInArrow(lambda b: opened(b, size), WINDOWS)
+    single = scratch.put(single, "windows")
+    repeats = scratch.put(single.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).filter("n > 1").select("w1", "w2"), "repeats")
+    again = single.filter("weight = 1").join(repeats.hint("merge"), ["w1", "w2"]).select("row", "at", F.lit(1).alias("size"))
+    whole = stretches.join(classes.filter("n > 1").select("s1", "s2").hint("merge"), ["s1", "s2"]).select("row", "at", "size")
+    covered = scratch.put(whole.unionByName(again).groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("cover")), "covered")
+    scratch.drop("classes", "windows", "repeats")
+    marked = hot.select("row", "doc_id", "text", "n_words").join(covered.hint("merge"), "row", "left")
     clean = found.filter("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return clean.unionByName(marked.select("doc_id", "text", "cover", "n_words").mapInArrow(lambda b: removed(b, size), OUT))
