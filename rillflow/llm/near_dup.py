@@ -171,7 +171,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    scratch = Scratch(spark, "near-dup", batch_rows=1000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sign = scratch.put(texts.mapInArrow(lambda b: signed(b, size, bands), SIGNED), "signed")
     whole = ["set1", "set2", "n_shingles"]

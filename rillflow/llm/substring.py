@@ -194,7 +194,7 @@ def removed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def repeated_passages(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substring")
+    scratch = Scratch(spark, "substring", batch_rows=1000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # Documents are joined by id here and by a number of their own after that; a null id is the smallest number.
     doc = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("doc")

@@ -30,10 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
-#: While a table is written: rows that one Arrow batch sends to Python.
-BATCH_ROWS = 1000
-
-
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings that hold within the block; names with __ for dots."""
@@ -54,15 +50,18 @@ class Scratch:
     ``put`` writes a frame and reads it again: that cuts the lineage, so a lost
     executor costs no more than the step that was running.  The step's shuffle
     files go when it ends.  Tables that no result reads any more go with ``drop``.
+    ``batch_rows``: rows that one Arrow batch sends to Python meanwhile.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
+        self.spark, self.batch_rows = spark, batch_rows
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, frame: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
-        held = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+        held = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+        if self.batch_rows:
+            held["spark__sql__execution__arrow__maxRecordsPerBatch"] = str(self.batch_rows)
         with settings(self.spark, **held):
             frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
