@@ -5,7 +5,7 @@ kept; all but the last return the columns of ``documents``.
 
 quality          rows that the classifier rejects go
 exact_dedup      of equal texts the one with the smallest doc_id stays
-near_dedup       of each group of near-duplicates one document stays
+near_dedup       of each group of texts at a similarity of 0.8 or more one stays
 pii              personal data in the texts is replaced by <kind>
 packing          pieces of sequences of 2048 tokens
 
@@ -43,7 +43,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dup.near_duplicates(docs).filter("kept"))
+    return _only(docs, near_dup.near_duplicates(docs, percent=80).filter("kept"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,12 @@ def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_takes_a_similarity_of_80_percent(spark):
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join([*words[:93], *(f"v{i}" for i in range(11))]), " ".join(f"u{i}" for i in range(50))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, (_, c) in brute.near(list(enumerate(texts)), 80).items() if i == c}
+    assert want == {0, 2} and len({c for _, c in brute.near(list(enumerate(texts))).values()}) == 3
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == want
