@@ -10,8 +10,9 @@ pii              personal data in the texts is replaced by <kind>
 packing          pieces of sequences of 2048 tokens
 
 Defined cases: null text is quality's empty text and stays null, if it stays;
-rows that repeat a doc_id go or stay together; columns beyond those of documents
-are dropped; an empty table gives no sequence.
+ids may repeat or be null: every row goes, stays and is redacted by its own text,
+and of equal rows with one id, or with none, one stays; columns beyond those of
+documents are dropped; an empty table gives no sequence.
 """
 
 from __future__ import annotations
@@ -22,33 +23,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import exact_dedup, near_dup, packing, pii, quality
-from rillflow.llm.work import shared_folder
+from rillflow.llm.work import Scratch, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; a null id counts as an id."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+def _numbered(spark: SparkSession, docs: DataFrame, by_id: bool = False) -> DataFrame:
+    """docs with a written unique number for each row; by_id: it rises with doc_id, null ids come last."""
+    rows = docs.select(*COLUMNS)
+    if by_id:
+        rows = rows.withColumn("tie", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "tie").drop("tie")
+    return Scratch(spark, "numbered").put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """What an operator takes, with the row's number as its id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is a doc_id of kept."""
+    kept = kept.select(F.col("doc_id").alias("row"))
+    return rows.join(kept.hint("merge"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, quality.score(docs, machine).filter("predicted = 1"))
+    rows = _numbered(spark, docs)
+    return _only(rows, quality.score(_texts(rows), machine).filter("predicted = 1"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.exact_duplicates(docs).filter("kept"))
+    rows = _numbered(spark, docs, by_id=True)
+    return _only(rows, exact_dedup.exact_duplicates(_texts(rows)).filter("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dup.near_duplicates(docs, percent=80).filter("kept"))
+    rows = _numbered(spark, docs, by_id=True)
+    return _only(rows, near_dup.near_duplicates(_texts(rows), percent=80).filter("kept"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = pii.extract(docs).filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.max("spans").alias("spans"))
-    out = docs.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    rows = _numbered(spark, docs)
+    spans = pii.extract(_texts(rows)).filter(F.size("spans") > 0).select(F.col("doc_id").alias("row"), "spans")
+    out = rows.join(spans.hint("merge"), "row", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.redact(F.col("text"), F.col("spans")))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 

@@ -46,3 +46,29 @@ def test_near_dedup_takes_a_similarity_of_80_percent(spark):
     want = {i for i, (_, c) in brute.near(list(enumerate(texts)), 80).items() if i == c}
     assert want == {0, 2} and len({c for _, c in brute.near(list(enumerate(texts))).values()}) == 3
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == want
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).repartition(3)
+    got = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), "").collect()), key=str)
+    rows = [(None, "mail a.b@c.example now"), (None, "nothing to hide in here"), (None, None), (7, "x 10.1.2.3"), (7, "call +44 20 7946 0958 today"), (7, "clean")]
+    want = [(None, "mail <email> now"), (None, "nothing to hide in here"), (None, None), (7, "x <ip>"), (7, "call <phone> today"), (7, "clean")]
+    assert got(corpus_pipeline.pii_stage, rows) == sorted(want, key=str)
+    rows = [(9, words(1)), (3, words(1)), (3, words(1)), (None, words(2)), (None, words(2)), (None, words(1)), (3, words(3)), (5, words(2))]
+    want = sorted([(3, words(1)), (5, words(2)), (3, words(3))], key=str)
+    assert got(corpus_pipeline.exact_dedup_stage, rows) == want
+    assert got(corpus_pipeline.near_dedup_stage, rows) == want
+
+
+def test_quality_decides_by_row(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    machine = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = quality.score(docs, machine).filter("predicted = 1").count()
+    assert 0 < good < docs.count()
+    # The model is fitted on labelled ids, so it stays as it is while only the ids it is not fitted on are null.
+    labelled = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    nulls = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(labelled), F.col("doc_id")))
+    assert nulls.filter("doc_id is null").count() > 1
+    assert corpus_pipeline.quality_stage(spark, nulls, sf_dir).count() == good
