@@ -8,8 +8,8 @@ The last window of a partition is split into lengths that are powers of two,
 which need no padding.
 
 Shards follow the input's partitions: no shuffle, and one shard in memory.
-Ids that more than a quarter of a shard's documents hold are left out of its
-index; their weight is next to nothing.
+Ids that more than a quarter of a shard's documents hold are scored from a dense
+block, a row for each; an id of one document alone scores no other.
 
 Defined cases: null or empty text is its end id alone; repeated rows and ids and
 null ids are documents like others.  Other columns are ignored, an empty table
@@ -46,8 +46,12 @@ class Index:
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         size = np.array([len(d) for d in docs], dtype=np.float64)
         weight = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
-        use = (df <= max(2, common * len(docs)))[place] & (df > 1)[place]
+        often = df > max(2, common * len(docs))
+        use = ~often[place] & (df > 1)[place]
         order = np.flatnonzero(use)[np.argsort(place[use], kind="stable")]
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((often.sum(), len(docs)))
+        self.dense[self.row[place[often[place]]], doc[often[place]]] = weight[often[place]]
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(place[order], minlength=len(self.terms)))])
         self.own = np.split(place, np.cumsum([len(t) for t, _ in pairs])[:-1])
@@ -55,12 +59,14 @@ class Index:
 
     def scores(self, seed: int) -> np.ndarray:
         own = self.own[seed]
+        rows = self.row[own]
+        out = self.dense[rows[rows >= 0]].sum(axis=0)
         n = self.begin[own + 1] - self.begin[own]
         own, n = own[n > 0], n[n > 0]
         if not len(own):
-            return np.zeros(self.n)
+            return out
         at = np.arange(n.sum()) + np.repeat(self.begin[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        return out + np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
 class Packer:

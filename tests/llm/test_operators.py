@@ -141,6 +141,25 @@ def test_neighbours_share_words():
     assert min(scores[2::2]) > max(scores[1::2])
 
 
+def test_ids_that_many_documents_hold_are_scored():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 100, 80)
+    docs = [np.concatenate([shared, rng.integers(1000, 9000, 20)]) if k < 10 else rng.integers(200, 900, 100) for k in range(30)]
+    index, n = packing.Index(docs), len(docs)
+    mean = sum(map(len, docs)) / n
+    for seed in (0, 5, 12):
+        want = np.zeros(n)
+        for t in set(docs[seed].tolist()):
+            df = sum(t in d for d in docs)
+            for k, d in enumerate(docs):
+                tf = (d == t).sum()
+                want[k] += (df > 1) * np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        assert np.allclose(index.scores(seed), want)
+    assert min(index.scores(0)[:10]) > max(index.scores(0)[10:])
+
+
 def test_pii(docs, rows, empty, repeated):
     got = {r.doc_id: r for r in pii.extract(docs).select("*", pii.as_text(F.col("base")).alias("b"), pii.as_text(F.col("spans")).alias("s")).collect()}
     for i, text in rows:
