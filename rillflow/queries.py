@@ -146,6 +146,27 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "find in (nation, region) where n_nationkey == 3 project n_name",
         "SELECT 'nation' AS source_, n_name FROM nation WHERE n_nationkey = 3",
     ),
+    # The same families as above over whole tables.
+    "join_fullouter_whole": (
+        "customer | project k=c_custkey * 2, a=c_name | join kind=fullouter (part | project k=p_partkey * 3, b=p_brand) on k",
+        "SELECT l.k, a, b FROM (SELECT c_custkey * 2 AS k, c_name AS a FROM customer) l FULL JOIN (SELECT p_partkey * 3 AS k, p_brand AS b FROM part) r ON l.k = r.k",
+    ),
+    "union_all_whole": (
+        "customer | project k=c_custkey, n=c_name | union (supplier | project k=s_suppkey, b=s_acctbal)",
+        "SELECT c_custkey AS k, c_name AS n, CAST(NULL AS DOUBLE) AS b FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier",
+    ),
+    "mv_expand_whole": (
+        "part | extend w=split(p_type, ' ') | mv-expand w to typeof(string) | summarize n=count() by w",
+        "SELECT count(*) AS n, w FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) GROUP BY w",
+    ),
+    "mv_apply_whole": (
+        "part | extend w=split(p_type, ' ') | mv-apply w to typeof(string) on (summarize n=count(), m=max(w)) | project n, m",
+        "SELECT CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, list_max(string_split(p_type, ' ')) AS m FROM part",
+    ),
+    "vectors_whole": (
+        "embeddings | project vec_id, d=round(series_dot_product(embedding, embedding), 4)",
+        "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS d FROM embeddings",
+    ),
     "lets": (
         "let f = (x:real) { x * 1.1 }; let big = orders | where o_totalprice > 200000; big | summarize n=count() | extend y=round(f(10.0), 3)",
         "SELECT count(*) AS n, 11.0::DOUBLE AS y FROM orders WHERE o_totalprice > 200000",
