@@ -1,8 +1,9 @@
 """Personal data by fixed patterns, and more of it by bootstrapped contexts.
 
 A first pass finds the base entities and, beside them, every other stretch that
-looks like an identifier, each with the word before it: its context.  Base
-entities are the seeds.  Over the graph of contexts and values Spark then scores
+looks like an identifier, each with the word before it: its context.  Those
+without a word stay out of the graph but are marked if their value is accepted.
+Base entities are the seeds.  Over the graph of contexts and values Spark then scores
 in rounds: a context's confidence for a kind is the share of its distinct values
 that are of that kind, each by its score, shrunk for small counts; a value's
 score is the noisy-or of its contexts'.  What reaches ``ACCEPT`` is a span of its own.
@@ -91,7 +92,7 @@ def possible(value: str) -> int:
 
 
 def near_spans(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base spans and other identifier-like stretches with the word before each."""
+    """Base spans with a word before them, and every other identifier-like stretch; its word may be None."""
     spans = [(a, b, k, 1 << k) for a, k, b in base]
     other = [(m.start(), m.end()) for m in NUMBER.finditer(text)] if DIGIT.search(text) else []
     if "@" in text or "at)" in text or "at]" in text:
@@ -105,9 +106,9 @@ def near_spans(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     out = []
     for a, b, kind, may in spans:
         word = BEFORE.search(text, max(0, a - 40), a)
-        if word:
+        if word or kind is None:
             value = text[a:b].lower() if may == 1 else re.sub(r"[^0-9.]" if may & 2 else r"[^0-9]", "", text[a:b])
-            out.append({"word": word.group(1).lower(), "value": value, "kind": kind, "may": may, "start": a, "end": b})
+            out.append({"word": word and word.group(1).lower(), "value": value, "kind": kind, "may": may, "start": a, "end": b})
     return out
 
 
@@ -155,7 +156,7 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, FOUND)
     rows = scratch.put(rows.withColumn("row", F.monotonically_increasing_id()), "found")
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    accepted = bootstrapped(scratch, near)
+    accepted = bootstrapped(scratch, near.filter("word is not null"))
     added = near.filter("kind is null").drop("kind").join(accepted, "value")
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end")).alias("added"))
     out = rows.drop("near").join(added, "row", "left")

@@ -176,6 +176,13 @@ def test_pii_contexts_find_more(spark):
     assert got[100].t == "my telephone: <phone> is here"
 
 
+def test_accepted_values_are_marked_without_a_word_before_them(spark):
+    rows = [(i, f"foo {i} telephone: +1 (2{i % 10:02d}) 555-2{i % 10}8{i % 7} bar x") for i in range(40)] + [(100, "my telephone: (988) 555-2485 is here")]
+    rows += [(101, "(988) 555-2485 at the start"), (102, "after ***** (988) 555-2485"), (103, "(988) 555-0000 is another")]
+    got = {r.doc_id: r.s for r in pii.extract(frame(spark, rows)).select("doc_id", pii.as_text(F.col("spans")).alias("s")).collect()}
+    assert [got[i] for i in range(100, 104)] == ["phone:14:28", "phone:0:14", "phone:12:26", ""]
+
+
 def test_exact_duplicates(docs, rows, empty, repeated):
     same(collected(exact_dedup.exact_duplicates(docs)), brute.exact(rows))
     same(collected(exact_dedup.exact_duplicates(docs, first=2, growth=2)), brute.exact(rows))
