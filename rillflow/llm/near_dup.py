@@ -6,35 +6,40 @@ the four values of two permutations, and 24 bands make the candidates: at a
 similarity of 0.85 a band agrees with a probability of about 0.52, and all 24
 miss with one below 1e-7.
 
-Rows: texts with the same shingle set become one class, found by a 128-bit sum
-over the set, and only the class's smallest id goes on.  Buckets with the same
-members are compared once.  In a bucket, full sets are compared exactly, in
-blocks of ``BLOCK`` members against each other where it is larger, and a task
-holds two blocks at most.  It returns a spanning forest of the links that hold,
-never all pairs.  Components come from alternating large and small stars.
-
-Shingles are compared by 64-bit hashes of five words.
+Texts with the same words become one class, by a 128-bit BLAKE2b digest of the
+words, and one row of it goes on.  Buckets with the same members are compared
+once.  Pairs are found by 64-bit shingle hashes and every link is confirmed on
+the shingles themselves, so no collision of hashes links two texts.
+
+A bucket of more than ``BLOCK`` members is cut into blocks, and ``PIVOTS`` of its
+members go to each block: that joins the blocks of a group of near copies.  Then
+only members outside the bucket's largest component are compared with the
+bucket's other blocks.  So every pair of a bucket is compared or already in one
+component, and a task holds two blocks at most.  Each task returns a spanning
+forest of its links, never all pairs.  Components come from alternating large
+and small stars.
 
 Defined cases: null or empty text has no shingles, stays its own component and
 links with nothing; a text of one to four words has its whole sequence as its
-only shingle; rows that repeat a doc_id share its component; a null doc_id has a
-null component and is kept.  Other columns are ignored, an empty table gives none.
+only shingle; rows that repeat a doc_id are texts of their own; a null doc_id has
+a null component, is kept and links nothing.  Other columns are ignored, an empty
+table gives none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, Words, buffers, mix, spans, stream, windows, within
+from .hashing import U, Words, buffers, digest, mix, spans, stream, windows, within
 from .work import Scratch, is_empty
 
-SIZE, BANDS, BLOCK = 5, 24, 512
-SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"
+SIZE, BANDS, BLOCK, PIVOTS = 5, 24, 128, 8
+SIGNED = "row long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def shingle_sets(words: Words, data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -57,22 +62,28 @@ def shingle_sets(words: Words, data: np.ndarray, offsets: np.ndarray, size: int
     return out[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
+def shingles(words: list[bytes], size: int = SIZE) -> set[bytes]:
+    """The shingles of a text's words themselves."""
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return {b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
 def signed(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
     words = Words(11, lower=True)
     factor, shift = stream(31, 2 * bands) | U(1), stream(32, 2 * bands)
-    salt, weight = stream(33, 2), stream(34, 4) | U(1)
+    weight = stream(34, 4) | U(1)
     for batch in batches:
-        data, offsets = buffers(batch.column(1))
+        data, offsets = buffers(batch.column(2))
         for i, j in spans(offsets):
             part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             sets, at = shingle_sets(words, part, off, size)
             n = np.diff(at)
             full = np.flatnonzero(n)
-            sums, keys = np.zeros((2, j - i), dtype=np.uint64), np.zeros((len(full), bands), dtype=np.uint64)
+            keys = np.zeros((len(full), bands), dtype=np.uint64)
+            own = np.frombuffer(b"".join([digest(b" ".join(part[a:b].tobytes().lower().split())) for a, b in zip(off[:-1], off[1:])]), dtype="<i8")
             if len(full):
                 heads = at[:-1][full]
-                for k in range(2):
-                    sums[k][full] = np.add.reduceat(mix(sets ^ salt[k]), heads)
                 for band in range(bands):
                     key = np.zeros(len(full), dtype=np.uint64)
                     for k in range(2):
@@ -81,16 +92,16 @@ def signed(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator
                         key += np.minimum.reduceat(x, heads) * weight[2 * k] + mix(np.maximum.reduceat(x, heads)) * weight[2 * k + 1]
                     keys[:, band] = mix(key)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc_id", "n_shingles", "set1", "set2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(own[0::2]), pa.array(own[1::2]), lists], names=["row", "doc_id", "n_shingles", "k1", "k2", "bands"])
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
+def forest(sets: list[np.ndarray], percent: int, confirmed: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= percent * union, by hashes, that ``confirmed`` allows."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (size.sum() - both) else []
+        return [(0, 1)] if 100 * both >= percent * (size.sum() - both) and confirmed(0, 1) else []
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), size)[np.argsort(ids, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(np.bincount(ids))])
@@ -107,29 +118,43 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             n = begin[mine + 1] - begin[mine]
             step = np.repeat(begin[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             both = np.bincount(owner[np.arange(n.sum()) + step], minlength=m)
-            linked = np.flatnonzero(waiting & (100 * both >= percent * (size + size[i] - both)))
+            linked = [k for k in np.flatnonzero(waiting & (100 * both >= percent * (size + size[i] - both))).tolist() if confirmed(i, k)]
             waiting[linked] = False
-            edges += [(i, int(k)) for k in linked]
-            front += linked.tolist()
+            edges += [(i, k) for k in linked]
+            front += linked
     return edges
 
 
 def links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows with the same group; the rows come sorted by it."""
+    """Links within each run of rows with the same group (band, key, lo, hi); the rows come sorted by it and by row."""
     words = Words(11, lower=True)
     held: pa.Table | None = None
 
     def linked(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
         data, offsets = buffers(table.column("text"))
-        ids = table.column("doc").to_numpy()
+        ids = table.column("row").to_numpy()
         sets: list[np.ndarray] = []
         for i, j in spans(offsets):
             s, at = shingle_sets(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
             sets += [s[a:b] for a, b in zip(at[:-1], at[1:])]
         found = set()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                found.update((min(x), max(x)) for x in ((int(ids[a + p]), int(ids[a + q])) for p, q in forest(sets[a:b], percent)) if x[0] != x[1])
+            some = [k for k in range(a, b) if k == a or ids[k] != ids[k - 1]]  # a row can come with both blocks
+            if len(some) < 2:
+                continue
+            real: dict[int, set[bytes]] = {}
+
+            def of(k: int) -> set[bytes]:
+                if k not in real:
+                    real[k] = shingles(data[offsets[some[k]] : offsets[some[k] + 1]].tobytes().lower().split(), size)
+                return real[k]
+
+            def confirmed(x: int, y: int) -> bool:
+                one, two = of(x), of(y)
+                both = len(one & two)
+                return 100 * both >= percent * (len(one) + len(two) - both)
+
+            found.update((int(min(ids[some[p]], ids[some[q]])), int(max(ids[some[p]], ids[some[q]]))) for p, q in forest([sets[k] for k in some], percent, confirmed))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
     for batch in batches:
@@ -168,35 +193,56 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands: int = BANDS, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup", batch_rows=1000)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    texts = scratch.put(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
     sign = scratch.put(texts.mapInArrow(lambda b: signed(b, size, bands), SIGNED), "signed")
-    whole = ["set1", "set2", "n_shingles"]
+    words = ["k1", "k2"]
     known = sign.filter("doc_id is not null and n_shingles > 0")
-    classes = scratch.put(known.groupBy(*whole).agg(F.min("doc_id").alias("doc")), "classes")
-    heads = known.join(classes.hint("merge"), whole).filter("doc_id = doc").select("doc", "bands")
-    banded = scratch.put(heads.dropDuplicates(["doc", "bands"]), "heads").select("doc", F.posexplode("bands").alias("band", "key"))
-    counts = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc").alias("x0"), F.max("doc").alias("x1"), F.bit_xor(F.xxhash64("doc")).alias("x2"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x3")).filter("n > 1")
+    classes = scratch.put(known.groupBy(*words).agg(F.min("doc_id").alias("doc"), F.min("row").alias("row")), "classes")
+    heads = scratch.put(known.select("row", "bands").join(classes.select("row").hint("merge"), "row"), "heads")
+    banded = heads.select("row", F.posexplode("bands").alias("band", "key"))
+    counts = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row").alias("x0"), F.max("row").alias("x1"), F.bit_xor(F.xxhash64("row")).alias("x2"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x3")).filter("n > 1")
     buckets = scratch.put(counts.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min(F.struct("band", "key")).alias("own")).select("own.*", "n"), "buckets")
     many = F.ceil(F.col("n") / block)
-    members = banded.join(buckets.hint("merge"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc"), many)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-    members = members.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc")
-    members = scratch.put(members, "members")
-    grouped = members.join(texts.withColumnRenamed("doc_id", "doc").hint("merge"), "doc").repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
-    found = scratch.put(grouped.select("band", "key", "lo", "hi", "doc", "text").mapInArrow(lambda b: links(b, size, percent), "a long, b long").distinct(), "links")
-    scratch.drop("heads", "buckets", "members")
+    own = F.pmod(F.xxhash64("row"), many).alias("own")
+    members = scratch.put(banded.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "row", "n", many.alias("many"), own), "members")
+
+    def linked(groups: DataFrame, name: str) -> DataFrame:
+        """Links in groups: band, key, lo, hi and row."""
+        by = ("band", "key", "lo", "hi")
+        rows = groups.join(texts.select("row", "text").hint("merge"), "row").repartition(*by).sortWithinPartitions(*by, "row")
+        return scratch.put(rows.select(*by, "row", "text").mapInArrow(lambda b: links(b, size, percent), "a long, b long").distinct(), name)
+
+    pivot = (F.col("many") > 1) & (F.pmod(F.xxhash64("row", F.lit(2)), F.col("n")) < pivots)
+    every = F.sequence(F.lit(0).cast("long"), F.col("many") - 1)
+    blocks = members.select("band", "key", F.explode(F.when(pivot, every).otherwise(F.array("own"))).alias("lo"), F.lit(0).cast("long").alias("hi"), "row")
+    found = linked(blocks, "links")
+    reached = None if is_empty(found) else scratch.put(components(scratch, found), "components")
+    if reached is not None and not is_empty(large := members.filter("many > 1")):
+        large = scratch.put(large.join(reached.withColumnRenamed("v", "row").hint("merge"), "row", "left").withColumn("component", F.coalesce("component", "row")), "large")
+        sizes = large.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("n"))
+        rest = F.ceil((F.col("n") - F.col("c")) / block).alias("rest")
+        large = scratch.put(large.drop("n").join(sizes.select("band", "key", "most", rest).filter("rest > 0").hint("merge"), ["band", "key"]), "apart")
+        near = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)
+        whole = large.select("band", "key", F.explode(near).alias("lo"), F.col("own").alias("hi"), "row")
+        apart = large.filter("component <> most").select("band", "key", F.pmod(F.xxhash64("row", F.lit(3)), "rest").alias("lo"), F.explode(every).alias("hi"), "row")
+        more = linked(whole.unionByName(apart), "links-apart")
+        if not is_empty(more):
+            reached = scratch.put(components(scratch, found.unionByName(more)), "components-2")
+    scratch.drop("heads", "buckets", "members", "rows")
     scratch.release()
     joined = classes
-    if is_empty(found):
-        joined = joined.withColumn("component", F.col("doc"))
-    else:
-        reached = scratch.put(components(scratch, found), "components")
-        joined = joined.join(reached, joined["doc"] == reached["v"], "left").withColumn("component", F.coalesce("component", "doc"))
-    joined = scratch.put(joined.select(*whole, "component"), "joined")
-    out = sign.drop("bands").join(joined.hint("merge"), whole, "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    if reached is not None:
+        # The smallest id of each component's classes.
+        named = scratch.put(joined.join(reached.withColumnRenamed("v", "row").hint("merge"), "row"), "named")
+        low = named.groupBy("component").agg(F.min("doc").alias("low"))
+        low = named.select(*words, "component").join(low.hint("merge"), "component").select(*words, "low")
+        joined = joined.join(low.hint("merge"), words, "left").withColumn("doc", F.coalesce("low", "doc"))
+    joined = scratch.put(joined.select(*words, F.col("doc").alias("component")), "joined")
+    out = sign.drop("bands", "row").join(joined.hint("merge"), words, "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

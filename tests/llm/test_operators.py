@@ -290,3 +290,50 @@ def test_queries_have_the_columns_of_their_contracts(spark, sf_dir):
     found = queries.queries()
     assert [n.split("_")[0] for n in found][:10] == [f"op{k}" for k in range(1, 11)] and "pipeline" in found
     assert set(queries.oracle_sql()) <= set(found)
+
+
+def thue_morse(a, b, n=2048):
+    """Two words on which every polynomial hash modulo 2**64 agrees."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_collide_in_polynomial_hashes_stay_apart(spark):
+    one, two = thue_morse("a", "b")
+    five = [(1, f"p q {one} r s"), (2, f"p q {two} r s"), (3, f"p q {one.upper()} r s")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, five)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    around = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"{around} {one} {around}"), (2, f"{around} {two} {around}")]
+    same(collected(substring.repeated_passages(frame(spark, rows))), brute.passages(rows))
+    assert all(r.n_removed == 0 for r in substring.repeated_passages(frame(spark, rows)).collect())
+
+
+def test_links_rest_on_words_where_hashes_agree(spark, monkeypatch):
+    """Shingle hashes of 6 bits: many pairs look alike, and none without a link is linked."""
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(30))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " tail") for i in range(5)]
+    plain = near_dup.windows
+    monkeypatch.setattr(near_dup, "windows", lambda words, size, seed: plain(words, size, seed) & np.uint64(0x3F))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()}
+    want = {i: c for i, (_, c) in brute.near(rows).items()}
+    assert all(got[i] == want[i] for i in range(40))
+
+
+def test_near_copies_in_many_blocks(spark):
+    """One group of near copies, some linked to few others, over more blocks than one."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice((1, 2))):
+            words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(f"c{k}x{i}" for k in range(40))) for i in range(10)]
+    for block, pivots in ((8, 2), (8, 0)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, rows), block=block, pivots=pivots).collect()}
+        assert got == brute.near(rows)
