@@ -53,9 +53,9 @@ class Scratch:
     ``batch_rows``: rows that one Arrow batch sends to Python meanwhile.
     """
 
-    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None, path: str | None = None):
         self.spark, self.batch_rows = spark, batch_rows
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = path.rstrip("/") if path else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, frame: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -78,5 +78,34 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file in any file system that Spark can reach; None if there is none."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes beside the place, then renames, so a reader finds the old file or the new one."""
+    jvm = spark.sparkContext._jvm
+    new, place = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    fs.rename(new, place)
+
+
 def is_empty(frame: DataFrame) -> bool:
     return not frame.take(1)

@@ -278,12 +278,27 @@ def test_repeated_passages(docs, rows, empty, repeated):
     same(collected(substring.repeated_passages(repeated, size=3, gram=2)), brute.passages([(r.doc_id, r.text) for r in repeated.collect()], 3))
 
 
-def test_repeated_passages_whose_hashes_meet_in_one_half(docs, rows, monkeypatch):
+def test_repeated_passages_rest_on_words_where_hashes_agree(spark, docs, rows, monkeypatch):
+    """Fingerprints of 4 bits: nearly every window is a candidate, and no other word is removed."""
     import numpy as np
 
     plain = substring.windows
-    monkeypatch.setattr(substring, "windows", lambda words, size, seed: plain(words, size, seed) & np.uint64(0xF if seed == 61 else 2**64 - 1))
-    same(collected(substring.repeated_passages(docs)), brute.passages(rows))
+    monkeypatch.setattr(substring, "windows", lambda words, size, seed: plain(words, size, seed) & np.uint64(0xF))
+    same(collected(substring.repeated_passages(docs, batches=2)), brute.passages(rows))
+
+
+def test_passages_of_three_batches(spark, rows, tmp_path):
+    """Each batch meets the stored runs; old rows lose what a new batch repeats."""
+    path, done = f"file://{tmp_path}/index", []
+    some = [(i, t) for i, t in rows if len(t or "") < 3000]
+    batches = [some[k::3] for k in range(3)] + [[(None, some[-1][1]), (1, some[-2][1])], []]
+    for k, batch in enumerate(batches):
+        index = substring.FingerprintIndex(spark, path, size=12, gram=4, fan=2)  # opened anew from its folder
+        index.add(frame(spark, batch))
+        done += batch
+        if k != 0:
+            same(collected(index.passages()), brute.passages(done, 12))
+    assert len(index.state["runs"]) <= 2 and len(index.state["batches"]) == 5
 
 
 def test_queries_have_the_columns_of_their_contracts(spark, sf_dir):
