@@ -170,8 +170,8 @@ class Packer:
         self.length = full
 
 
-def packed(batches: Iterator[pa.RecordBatch], file: str, length: int, shard: int) -> Iterator[pa.RecordBatch]:
-    cache = tokenizer_files.id_cache(file)
+def packed(batches: Iterator[pa.RecordBatch], file: str, pattern: str, length: int, shard: int) -> Iterator[pa.RecordBatch]:
+    cache = tokenizer_files.IdCache(file, pattern)
     end = np.array([END], dtype="<u4").tobytes()
     context = TaskContext.get()
     packer = Packer((context.partitionId() if context else 0) << 40, length)
@@ -197,5 +197,5 @@ def packed(batches: Iterator[pa.RecordBatch], file: str, length: int, shard: int
 
 def pack(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, folder: str | None = None) -> DataFrame:
     """Pieces with their ids (little-endian unsigned 32-bit): doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    file = tokenizer_files.library_file(docs.sparkSession, folder)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: packed(b, file.value, length, shard), PIECES)
+    file, pattern = tokenizer_files.library_file(docs.sparkSession, folder), tokenizer_files.pattern()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: packed(b, file.value, pattern, length, shard), PIECES)

@@ -73,12 +73,12 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     return out + np.uint32(low)
 
 
-def pages(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
-    cache = tokenizer_files.id_cache(file)
+def pages(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    cache = tokenizer_files.IdCache(file, pattern)
     end = np.array([END], dtype="<u4").tobytes()
     context = TaskContext.get()
     shard = context.partitionId() if context else 0
-    page, first, held, names, sizes = 0, 0, [], [], []
+    page, first, held, names, sizes, total = 0, 0, [], [], [], 0
 
     def closed() -> pa.RecordBatch:
         ids = np.frombuffer(b"".join(held), dtype="<u4")
@@ -96,9 +96,10 @@ def pages(batches: Iterator[pa.RecordBatch], file: str) -> Iterator[pa.RecordBat
             held.append(ids)
             names.append(name)
             sizes.append(len(ids) // 4)
-            if sum(sizes) >= PAGE:
+            total += sizes[-1]
+            if total >= PAGE:
                 yield closed()
-                page, first, held, names, sizes = page + 1, first + sum(sizes), [], [], []
+                page, first, held, names, sizes, total = page + 1, first + total, [], [], [], 0
     if held:
         yield closed()
 
@@ -119,12 +120,12 @@ def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(docs: DataFrame, path: str, folder: str | None = None) -> None:
     """Writes the whole texts' ids, each document ended by ``END``, in ascending doc_id order."""
-    file = tokenizer_files.library_file(docs.sparkSession, folder)
+    file, pattern = tokenizer_files.library_file(docs.sparkSession, folder), tokenizer_files.pattern()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     # The hash after the id parts rows of one id, however many there are.
     ranged = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie.asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie.asc())
-    ranged.mapInArrow(lambda b: pages(b, file.value), PAGES).write.option("compression", "uncompressed").parquet(path)
+    ranged.mapInArrow(lambda b: pages(b, file.value, pattern), PAGES).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
+from array import array
 
+import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
+from tokenizers import Tokenizer
+
+from .pretokens import PartCache, library_piece
 
 IDS, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -36,10 +42,22 @@ def read_ranks(folder: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def id_cache(file: str):
-    """A PartCache that gives a text's ids by the tokenizers library, as little-endian 32-bit integers."""
-    from tokenizers import Tokenizer
+class IdCache:
+    """``encode`` gives a text's ids as ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian 32-bit integers.
+
+    The library cuts a text at its added tokens, ``<|endoftext|>`` among them,
+    the longest at the leftmost place, before anything else; so does this.
+    """
 
-    from .pretokens import PartCache, library_piece
+    def __init__(self, file: str, pattern: str):
+        added = json.loads(file)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("added tokens that take spaces or whole words are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        self.parts = PartCache(pattern, library_piece(Tokenizer.from_str(file)), limit=600_000)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
 
-    return PartCache(pattern(), library_piece(Tokenizer.from_str(file)), limit=600_000)
+    def encode(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self.parts.encode(text)
+        return b"".join([self.added[x] if k % 2 else self.parts.encode(x) for k, x in enumerate(self.cut(text))])

@@ -21,6 +21,7 @@ def odd_rows():
     base = text(80, 10_000)
     texts = [None, "", " ", "\n\t ", "a", "A b", "a  b", "a\tb ", " lead", "x" * 5000, "é ü ß 漢字 🙂" * 9, long, long + " more", base, base, base + " tail", "head " + base, base.upper()]
     texts += [text(50) + " " + COMMON + " " + text(30), COMMON, "To " * 300, "a b " * 60, "don't  stop\r\n\r\n we'll\x1cgo <|endoftext|>"]
+    texts += ["<|endoftext|>start", "in<|endoftext|>side <|endoftext|><|endoftext|> a <|endof<|endoftext|>text|> b", " <|endoftext|> "]
     texts += ["Released under the MIT License. under the mit license", "CC BY NC by nc cc by-nc", "GNU General Public License, version 3 licensed under the GNU General Public License version 3", "mail x.y@a-b.example.com and a@b@c.d, 1.2.3.4.5.6.7.8 999.1.1.1 007.08.1.2"]
     texts += ["card 4111 1111 1111 1111 or 4111-1111-1111-1112 5500000000000004", "call +1 (988) 555-2485. or +44 20 7946 0958) +1((((", "@@ a@b. .@x.y +12"]
     texts += [base.replace("w1", "v1", 1), text(3), text(4), text(5)]
@@ -114,7 +115,6 @@ def test_packing(docs, rows, empty, repeated):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_files.path(tokenizer_files.IDS))
-    t.encode_special_tokens = True
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
     pieces, sequences = {}, {}
     for r in packing.pack(docs, shard=20).collect():
@@ -222,7 +222,6 @@ def test_token_files(spark, docs, rows, empty, repeated):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_files.path(tokenizer_files.IDS))
-    t.encode_special_tokens = True
     path = Scratch(spark, "test").path
     token_store.write(docs, path)
     got = {r.doc_id: r for r in token_store.read(spark, path).collect()}
@@ -236,6 +235,30 @@ def test_token_files(spark, docs, rows, empty, repeated):
         assert token_store.read(spark, path + str(n)).count() == n
 
 
+def test_workers_need_no_copy_of_the_package(sf_dir, tmp_path):
+    """The package lies where the driver alone looks; workers get what they run by value."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+from rillflow.llm import packing, token_store
+docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+token_store.write(docs, "file://" + sys.argv[2])
+print("rows", packing.pack(docs).count(), token_store.read(spark, "file://" + sys.argv[2]).count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if not (k == "PYTHONPATH" and repo in v)}
+    out = subprocess.run([sys.executable, "-c", code, repo, str(tmp_path / "files")], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    rows = next((x for x in out.stdout.splitlines() if x.startswith("rows")), out.stderr[-2000:])
+    assert rows.split()[0] == "rows" and int(rows.split()[1]) >= 2 and rows.split()[2] == "2"
+
+
 def test_blocks():
     import numpy as np
 
