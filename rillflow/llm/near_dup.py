@@ -11,13 +11,13 @@ words, and one row of it goes on.  Buckets with the same members are compared
 once.  Pairs are found by 64-bit shingle hashes and every link is confirmed on
 the shingles themselves, so no collision of hashes links two texts.
 
-A bucket of more than ``BLOCK`` members is cut into blocks, and ``PIVOTS`` of its
-members go to each block: that joins the blocks of a group of near copies.  Then
-only members outside the bucket's largest component are compared with the
-bucket's other blocks.  So every pair of a bucket is compared or already in one
-component, and a task holds two blocks at most.  Each task returns a spanning
-forest of its links, never all pairs.  Components come from alternating large
-and small stars.
+A bucket of more than ``BLOCK`` members is cut into blocks, and the bucket's
+smallest row, its leader, and ``PIVOTS`` other members go to each block: that
+joins the blocks of a group of near copies.  Then only the members that their
+block did not connect to the leader are compared with the bucket's other blocks.
+So every pair of a bucket is compared or already connected, and a task holds two
+blocks at most.  Each task returns a spanning forest of its links, never all
+pairs.  Components come from alternating large and small stars.
 
 Defined cases: null or empty text has no shingles, stays its own component and
 links with nothing; a text of one to four words has its whole sequence as its
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from .hashing import U, Words, buffers, digest, mix, spans, stream, windows, within
 from .work import Scratch, is_empty
 
-SIZE, BANDS, BLOCK, PIVOTS = 5, 24, 128, 8
+SIZE, BANDS, BLOCK, PIVOTS = 5, 24, 256, 8
 SIGNED = "row long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+#: Rows a and b are connected; or, with b null, a row that the bucket's leader is not connected to in its block.
+LINKS = "a long, b long, band int, key long"
 
 
 def shingle_sets(words: Words, data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -125,19 +127,36 @@ def forest(sets: list[np.ndarray], percent: int, confirmed: Callable[[int, int],
     return edges
 
 
+def trees(m: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The smallest member that each member of a forest is connected to."""
+    top = list(range(m))
+
+    def root(k: int) -> int:
+        while top[k] != k:
+            top[k] = top[top[k]]
+            k = top[k]
+        return k
+
+    for p, q in edges:
+        a, b = root(p), root(q)
+        top[max(a, b)] = min(a, b)
+    return [root(k) for k in range(m)]
+
+
 def links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows with the same group (band, key, lo, hi); the rows come sorted by it and by row."""
+    """Connections in each run of rows with one group (band, key, lo, hi), sorted by it and by row: each row to the
+    smallest that it is linked to in the group, directly or not; with a leader also who is apart from it."""
     words = Words(11, lower=True)
     held: pa.Table | None = None
 
     def linked(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
         data, offsets = buffers(table.column("text"))
-        ids = table.column("row").to_numpy()
+        ids, leaders, bands, keys = (table.column(c).to_numpy() for c in ("row", "leader", "band", "key"))
         sets: list[np.ndarray] = []
         for i, j in spans(offsets):
             s, at = shingle_sets(words, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
             sets += [s[a:b] for a, b in zip(at[:-1], at[1:])]
-        found = set()
+        found, apart = set(), []
         for a, b in zip(cuts[:-1], cuts[1:]):
             some = [k for k in range(a, b) if k == a or ids[k] != ids[k - 1]]  # a row can come with both blocks
             if len(some) < 2:
@@ -154,8 +173,13 @@ def links(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
                 both = len(one & two)
                 return 100 * both >= percent * (len(one) + len(two) - both)
 
-            found.update((int(min(ids[some[p]], ids[some[q]])), int(max(ids[some[p]], ids[some[q]]))) for p, q in forest([sets[k] for k in some], percent, confirmed))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+            roots = trees(len(some), forest([sets[k] for k in some], percent, confirmed))
+            found.update((int(ids[some[r]]), int(ids[some[k]])) for k, r in enumerate(roots) if r != k)
+            if leaders[a] >= 0:
+                first = next(k for k, x in enumerate(some) if ids[x] == leaders[a])
+                apart += [(int(ids[some[k]]), None, int(bands[a]), int(keys[a])) for k, r in enumerate(roots) if r != roots[first]]
+        rows = [(x, y, None, None) for x, y in found] + apart
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["a", "b", "band", "key"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -183,12 +207,15 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             moved = moved.union(low.filter("u <> m").select("u", "m"))
         return scratch.put(moved.filter("a <> b").distinct(), name)
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    def finished(edges: DataFrame) -> bool:
+        """Every end a has one b, and no b is an a: the edges are stars around their smallest ids."""
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("n")).distinct())
+        return is_empty(ends.groupBy("v").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("n > 0 and k > 1"))
 
-    before, k = None, 0
-    while (now := state(edges)) != before:
-        before, k = now, k + 1
+    k = 0
+    edges = stars(edges, "small-0", False)
+    while not finished(edges):
+        k += 1
         edges = stars(stars(edges, f"large-{k}", True), f"small-{k}", False)
     return edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct())
 
@@ -205,35 +232,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SIZE, bands:
     heads = scratch.put(known.select("row", "bands").join(classes.select("row").hint("merge"), "row"), "heads")
     banded = heads.select("row", F.posexplode("bands").alias("band", "key"))
     counts = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("row").alias("x0"), F.max("row").alias("x1"), F.bit_xor(F.xxhash64("row")).alias("x2"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x3")).filter("n > 1")
-    buckets = scratch.put(counts.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min(F.struct("band", "key")).alias("own")).select("own.*", "n"), "buckets")
+    buckets = scratch.put(counts.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min(F.struct("band", "key")).alias("own")).select("own.*", "n", "x0"), "buckets")
     many = F.ceil(F.col("n") / block)
-    own = F.pmod(F.xxhash64("row"), many).alias("own")
-    members = scratch.put(banded.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "row", "n", many.alias("many"), own), "members")
+    members = banded.join(buckets.hint("merge"), ["band", "key"]).select("band", "key", "row", "n", many.alias("many"), F.when(many > 1, F.col("x0")).otherwise(-1).alias("leader"))
+    members = scratch.put(members.withColumn("own", F.pmod(F.xxhash64("row"), F.col("many"))), "members")
+    inside = scratch.put(texts.select("row", "text").join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "inside")
+    scratch.drop("heads", "buckets", "rows")
 
     def linked(groups: DataFrame, name: str) -> DataFrame:
-        """Links in groups: band, key, lo, hi and row."""
+        """Links in groups: band, key, lo, hi, leader and row."""
         by = ("band", "key", "lo", "hi")
-        rows = groups.join(texts.select("row", "text").hint("merge"), "row").repartition(*by).sortWithinPartitions(*by, "row")
-        return scratch.put(rows.select(*by, "row", "text").mapInArrow(lambda b: links(b, size, percent), "a long, b long").distinct(), name)
+        rows = groups.join(inside.hint("merge"), "row").repartition(*by).sortWithinPartitions(*by, "row")
+        return scratch.put(rows.select(*by, "leader", "row", "text").mapInArrow(lambda b: links(b, size, percent), LINKS), name)
 
-    pivot = (F.col("many") > 1) & (F.pmod(F.xxhash64("row", F.lit(2)), F.col("n")) < pivots)
+    everywhere = (F.col("many") > 1) & ((F.col("row") == F.col("leader")) | (F.pmod(F.xxhash64("row", F.lit(2)), F.col("n")) < pivots))
     every = F.sequence(F.lit(0).cast("long"), F.col("many") - 1)
-    blocks = members.select("band", "key", F.explode(F.when(pivot, every).otherwise(F.array("own"))).alias("lo"), F.lit(0).cast("long").alias("hi"), "row")
-    found = linked(blocks, "links")
-    reached = None if is_empty(found) else scratch.put(components(scratch, found), "components")
-    if reached is not None and not is_empty(large := members.filter("many > 1")):
-        large = scratch.put(large.join(reached.withColumnRenamed("v", "row").hint("merge"), "row", "left").withColumn("component", F.coalesce("component", "row")), "large")
-        sizes = large.groupBy("band", "key", "component").agg(F.count("*").alias("c")).groupBy("band", "key").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("n"))
-        rest = F.ceil((F.col("n") - F.col("c")) / block).alias("rest")
-        large = scratch.put(large.drop("n").join(sizes.select("band", "key", "most", rest).filter("rest > 0").hint("merge"), ["band", "key"]), "apart")
-        near = F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)
-        whole = large.select("band", "key", F.explode(near).alias("lo"), F.col("own").alias("hi"), "row")
-        apart = large.filter("component <> most").select("band", "key", F.pmod(F.xxhash64("row", F.lit(3)), "rest").alias("lo"), F.explode(every).alias("hi"), "row")
-        more = linked(whole.unionByName(apart), "links-apart")
-        if not is_empty(more):
-            reached = scratch.put(components(scratch, found.unionByName(more)), "components-2")
-    scratch.drop("heads", "buckets", "members", "rows")
+    blocks = members.select("band", "key", F.explode(F.when(everywhere, every).otherwise(F.array("own"))).alias("lo"), F.lit(0).cast("long").alias("hi"), "leader", "row")
+    first = linked(blocks, "links")
+    apart = scratch.put(first.filter("b is null").select("band", "key", F.col("a").alias("row")).distinct(), "apart")
+    sizes = apart.groupBy("band", "key").agg(F.count("*").alias("r"))
+    whole = members.filter("many > 1").select("band", "key", "n", "row").join(sizes.hint("merge"), ["band", "key"])
+    whole = whole.join(apart.withColumn("apart", F.lit(True)).hint("merge"), ["band", "key", "row"], "left")
+    # The apart in blocks against each other (lo < hi), and against blocks of the connected (hi < 0).
+    blocks_of = lambda n: F.ceil(n / block)
+    whole = whole.select("band", "key", "row", "apart", blocks_of(F.col("r")).alias("aparts"), blocks_of(F.col("n") - F.col("r")).alias("others"), F.xxhash64("row", F.lit(3)).alias("h"))
+    zero = F.lit(0).cast("long")
+    upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<bigint>"))
+    own, other = F.pmod("h", "aparts"), F.pmod("h", "others")
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    with_apart = F.when(F.col("aparts") == 1, F.array(pair(zero, zero))).otherwise(F.transform(F.filter(upto(F.col("aparts")), lambda q: q != own), lambda q: pair(F.least(own, q), F.greatest(own, q))))
+    with_others = F.transform(upto(F.col("others")), lambda j: pair(own, -1 - j))
+    groups = F.when(F.col("apart"), F.concat(with_apart, with_others)).otherwise(F.transform(upto(F.col("aparts")), lambda p: pair(p, -1 - other)))
+    rest = whole.select("band", "key", F.explode(groups).alias("g"), "row").select("band", "key", "g.lo", "g.hi", F.lit(-1).cast("long").alias("leader"), "row")
+    found = scratch.put(first.filter("b is not null").select("a", "b").unionByName(linked(rest, "links-apart").select("a", "b")).distinct(), "found")
+    scratch.drop("members", "inside", "apart", "links", "links-apart")
     scratch.release()
+    reached = None if is_empty(found) else scratch.put(components(scratch, found), "components")
     joined = classes
     if reached is not None:
         # The smallest id of each component's classes.
