@@ -27,6 +27,11 @@ for _name, _op in {"abs": F.abs, "sign": F.signum, "ceiling": F.ceil, "floor": F
     function("series_" + _name)(lambda x, f=_op: dynamic(json_reals(F.transform(reals(x), lambda v: f(v).cast("double")))))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _missing(x: Typed, placeholder: Typed | None) -> Column:
     """The numbers with the placeholder as null."""
     values = reals(x)
@@ -58,21 +63,25 @@ def fill_const(x, value, placeholder=None):
 
 @function("series_fill_linear")
 def fill_linear(x, placeholder=None, edges=None, constant=None):
-    v = _missing(x, placeholder)
-    at = F.transform(v, lambda y, i: F.when(y.isNotNull(), i.cast("double")))
-    before, after = _forward(at), F.reverse(_forward(F.reverse(at)))
     fill = edges is None or edges.value is not False
     other = ty.as_real(constant) if constant is not None else F.lit(0.0)
 
-    def one(y, i):
-        a, b = F.get(before, i), F.get(after, i)
-        low, high = F.get(v, a.cast("int")), F.get(v, b.cast("int"))
-        line = low + (high - low) * (i - a) / F.when(b > a, b - a)
-        edge = F.coalesce(low, high) if fill else F.lit(None).cast("double")
-        return F.coalesce(y, F.when(a.isNotNull() & b.isNotNull(), line).otherwise(edge))
+    def filled(v: Column) -> Column:
+        at = F.transform(v, lambda y, i: F.when(y.isNotNull(), i.cast("double")))
+        sides = F.struct(v.alias("v"), _forward(at).alias("before"), F.reverse(_forward(F.reverse(at))).alias("after"))
+        return F.when(F.exists(v, lambda y: y.isNotNull()), let(sides, lined)).otherwise(F.transform(v, lambda _: other))
+
+    def lined(s: Column) -> Column:
+        def one(y, i):
+            a, b = F.get(s["before"], i), F.get(s["after"], i)
+            low, high = F.get(s["v"], a.cast("int")), F.get(s["v"], b.cast("int"))
+            line = low + (high - low) * (i - a) / F.when(b > a, b - a)
+            edge = F.coalesce(low, high) if fill else F.lit(None).cast("double")
+            return F.coalesce(y, F.when(a.isNotNull() & b.isNotNull(), line).otherwise(edge))
+
+        return F.transform(s["v"], one)
 
-    found = F.exists(v, lambda y: y.isNotNull())
-    return dynamic(json_reals(F.when(found, F.transform(v, one)).otherwise(F.transform(v, lambda _: other))))
+    return dynamic(json_reals(let(_missing(x, placeholder), filled)))
 
 
 def total(values: Column, start: float, step) -> Column:
@@ -96,24 +105,42 @@ def series_magnitude(x):
 
 @function("series_pearson_correlation")
 def pearson(a, b):
-    x, y = reals(a), reals(b)
-    n = F.size(x).cast("double")
-    mx, my = total(x, 0.0, lambda s, v: s + v) / n, total(y, 0.0, lambda s, v: s + v) / n
-    pair = F.zip_with(x, y, lambda p, q: (p - mx) * (q - my))
-    sx, sy = total(x, 0.0, lambda s, v: s + (v - mx) * (v - mx)), total(y, 0.0, lambda s, v: s + (v - my) * (v - my))
-    good = (F.size(x) == F.size(y)) & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull()) & F.forall(y, lambda v: v.isNotNull()) & (sx > 0) & (sy > 0)
-    return real(F.when(good, total(pair, 0.0, lambda s, v: s + v) / F.sqrt(sx * sy)))
+    def means(s: Column) -> Column:
+        n = F.size(s["x"]).cast("double")
+        mean = lambda v: total(v, 0.0, lambda t, y: t + y) / n
+        return F.struct(s["x"].alias("x"), s["y"].alias("y"), mean(s["x"]).alias("mx"), mean(s["y"]).alias("my"))
+
+    def sums(s: Column) -> Column:
+        x, y, mx, my = s["x"], s["y"], s["mx"], s["my"]
+        square = lambda v, m: total(v, 0.0, lambda t, p: t + (p - m) * (p - m))
+        both = total(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my)), 0.0, lambda t, v: t + v)
+        whole = (F.size(x) == F.size(y)) & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull()) & F.forall(y, lambda v: v.isNotNull())
+        return F.struct(square(x, mx).alias("sx"), square(y, my).alias("sy"), both.alias("both"), whole.alias("whole"))
+
+    out = lambda s: F.when(s["whole"] & (s["sx"] > 0) & (s["sy"] > 0), s["both"] / F.sqrt(s["sx"] * s["sy"]))
+    return real(let(F.struct(reals(a).alias("x"), reals(b).alias("y")), lambda s: let(means(s), lambda t: let(sums(t), out))))
 
 
 @function("series_stats_dynamic")
 def stats(x):
-    v = F.filter(reals(x), lambda y: y.isNotNull())
-    all_, n = reals(x), F.size(v)
-    sum_ = total(v, 0.0, lambda s, y: s + y)
-    mean = sum_ / F.when(n > 0, n)
-    variance = F.when(n > 1, total(v, 0.0, lambda s, y: s + (y - mean) * (y - mean)) / F.when(n > 1, n - 1)).otherwise(0.0)
-    low, high = F.array_min(v), F.array_max(v)
-    place = lambda y: (F.array_position(all_, y) - 1).cast("string")
     text = lambda c: F.coalesce(ty.real_text(c.cast("double")), F.lit("null"))
-    pairs = {"min": text(low), "min_idx": F.coalesce(place(low), F.lit("null")), "max": text(high), "max_idx": F.coalesce(place(high), F.lit("null")), "avg": text(mean), "variance": text(variance), "stdev": text(F.sqrt(variance)), "sum": text(sum_), "len": F.size(all_).cast("string")}
-    return dynamic(F.when(all_.isNotNull(), json_object([(F.lit(k), c) for k, c in pairs.items()])))
+
+    def moments(s: Column) -> Column:
+        """sum, mean and variance beside the numbers, with and without nulls."""
+        n = F.size(s["v"])
+        spread = lambda m: total(s["v"], 0.0, lambda t, y: t + (y - m) * (y - m))
+        mean = s["sum"] / F.when(n > 0, n)
+        variance = F.when(n > 1, let(mean, spread) / F.when(n > 1, n - 1)).otherwise(0.0)
+        return F.struct(s["all"].alias("all"), F.array_min(s["v"]).alias("low"), F.array_max(s["v"]).alias("high"), mean.alias("mean"), variance.alias("variance"), s["sum"].alias("sum"))
+
+    def shown(m: Column) -> Column:
+        place = lambda y: F.coalesce((F.array_position(m["all"], y) - 1).cast("string"), F.lit("null"))
+        pairs = {"min": text(m["low"]), "min_idx": place(m["low"]), "max": text(m["high"]), "max_idx": place(m["high"]), "avg": text(m["mean"]), "variance": text(m["variance"]), "stdev": text(F.sqrt(m["variance"])), "sum": text(m["sum"]), "len": F.size(m["all"]).cast("string")}
+        return json_object([(F.lit(k), c) for k, c in pairs.items()])
+
+    def out(all_: Column) -> Column:
+        v = F.filter(all_, lambda y: y.isNotNull())
+        sums = F.struct(all_.alias("all"), v.alias("v"), total(v, 0.0, lambda s, y: s + y).alias("sum"))
+        return F.when(all_.isNotNull(), let(sums, lambda s: let(moments(s), shown)))
+
+    return dynamic(let(reals(x), out))

@@ -42,6 +42,12 @@ def like(pattern: str) -> str:
     return "(?i)^" + "".join(".*" if c == "*" else "." if c == "?" else quote(c) for c in pattern) + "$"
 
 
+def like_column(pattern: Column) -> Column:
+    """``like`` of a pattern that differs from row to row."""
+    quoted = F.regexp_replace(pattern, r"([^0-9A-Za-z*?])", r"\\$1")
+    return F.concat(F.lit("(?i)^"), F.replace(F.replace(quoted, F.lit("?"), F.lit(".")), F.lit("*"), F.lit(".*")), F.lit("$"))
+
+
 class Binder:
     """Binds expressions over the columns of one frame.
 
@@ -151,7 +157,7 @@ class Binder:
         if word == "matches regex":
             return F.call_function("rlike", s, regex(right))
         if word == "like":
-            out = s.rlike(like(str(right.value or "")))
+            out = s.rlike(like(str(right.value or ""))) if right.const else F.call_function("rlike", s, like_column(ty.text(right)))
         elif word == "has":
             out = has_term(s, right, cased=cased)
         elif word == "hasprefix":

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import family_queries
 from .engine import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations")
@@ -41,8 +42,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey",
     ),
     "join_fullouter": (
-        "customer | where c_custkey % 3 == 0 | project k=c_custkey, a=c_name | join kind=fullouter (customer | where c_custkey % 5 == 0 | project k=c_custkey, b=c_mktsegment) on k",
-        "SELECT l.k, a, b FROM (SELECT c_custkey AS k, c_name AS a FROM customer WHERE c_custkey % 3 = 0) l FULL JOIN (SELECT c_custkey AS k, c_mktsegment AS b FROM customer WHERE c_custkey % 5 = 0) r ON l.k = r.k",
+        "customer | project k=c_custkey * 2, a=c_name | join kind=fullouter (part | project k=p_partkey * 3, b=p_brand) on k",
+        "SELECT l.k, a, b FROM (SELECT c_custkey * 2 AS k, c_name AS a FROM customer) l FULL JOIN (SELECT p_partkey * 3 AS k, p_brand AS b FROM part) r ON l.k = r.k",
     ),
     "join_anti": (
         "customer | join kind=leftanti orders on $left.c_custkey == $right.o_custkey | project c_custkey",
@@ -91,8 +92,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "top": ("orders | top 20 by o_totalprice desc | project o_orderkey, o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 20"),
     "distinct_count": ("lineitem | distinct l_returnflag, l_linestatus | count", "SELECT count(*) AS \"Count\" FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)"),
     "union_all": (
-        "customer | where c_custkey < 50 | project k=c_custkey, n=c_name | union (supplier | where s_suppkey < 20 | project k=s_suppkey, b=s_acctbal)",
-        "SELECT c_custkey AS k, c_name AS n, CAST(NULL AS DOUBLE) AS b FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier WHERE s_suppkey < 20",
+        "customer | project k=c_custkey, n=c_name | union (supplier | project k=s_suppkey, b=s_acctbal)",
+        "SELECT c_custkey AS k, c_name AS n, CAST(NULL AS DOUBLE) AS b FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier",
     ),
     "partition_by": (
         "orders | partition by o_orderpriority (top 3 by o_totalprice desc | project o_orderpriority, o_orderkey)",
@@ -107,12 +108,12 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(sum(n_nationkey) OVER (ORDER BY n_nationkey) AS BIGINT) AS total FROM nation",
     ),
     "mv_expand": (
-        "part | where p_partkey < 200 | extend w=split(p_type, ' ') | mv-expand w to typeof(string) | summarize n=count() by w",
-        "SELECT count(*) AS n, w FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part WHERE p_partkey < 200) GROUP BY w",
+        "part | extend w=split(p_type, ' ') | mv-expand w to typeof(string) | summarize n=count() by w",
+        "SELECT count(*) AS n, w FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) GROUP BY w",
     ),
     "mv_apply": (
-        "part | where p_partkey < 200 | extend w=split(p_type, ' ') | mv-apply w to typeof(string) on (summarize n=count(), m=max(w)) | project n, m",
-        "SELECT CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, list_max(string_split(p_type, ' ')) AS m FROM part WHERE p_partkey < 200",
+        "part | extend w=split(p_type, ' ') | mv-apply w to typeof(string) on (summarize n=count(), m=max(w)) | project n, m",
+        "SELECT CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, list_max(string_split(p_type, ' ')) AS m FROM part",
     ),
     "parse_text": (
         "customer | parse c_name with * '#' num:long | project c_custkey, num",
@@ -135,8 +136,8 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT event_type, '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY d) || ']' AS n FROM (SELECT t.event_type, d, count(e.ts) AS n FROM (SELECT DISTINCT event_type FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-11') t CROSS JOIN range(0, 10) r(d) LEFT JOIN events e ON e.event_type = t.event_type AND e.ts >= TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER)) AND e.ts < TIMESTAMP '2024-01-01' + to_days(CAST(d AS INTEGER) + 1) GROUP BY 1, 2) GROUP BY event_type",
     ),
     "vectors": (
-        "embeddings | where vec_id < 200 | project vec_id, d=round(series_dot_product(embedding, embedding), 4)",
-        "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS d FROM embeddings WHERE vec_id < 200",
+        "embeddings | project vec_id, d=round(series_dot_product(embedding, embedding), 4)",
+        "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS d FROM embeddings",
     ),
     "graph_match": (
         "nation | project a=tostring(n_nationkey), b=tostring(n_regionkey) | union (region | project a=tostring(r_regionkey), b='root') | make-graph a --> b | graph-match (x)-[e]->(y)-[f]->(z) project x.NodeId, y.NodeId, z.NodeId | count",
@@ -146,27 +147,6 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "find in (nation, region) where n_nationkey == 3 project n_name",
         "SELECT 'nation' AS source_, n_name FROM nation WHERE n_nationkey = 3",
     ),
-    # The same families as above over whole tables.
-    "join_fullouter_whole": (
-        "customer | project k=c_custkey * 2, a=c_name | join kind=fullouter (part | project k=p_partkey * 3, b=p_brand) on k",
-        "SELECT l.k, a, b FROM (SELECT c_custkey * 2 AS k, c_name AS a FROM customer) l FULL JOIN (SELECT p_partkey * 3 AS k, p_brand AS b FROM part) r ON l.k = r.k",
-    ),
-    "union_all_whole": (
-        "customer | project k=c_custkey, n=c_name | union (supplier | project k=s_suppkey, b=s_acctbal)",
-        "SELECT c_custkey AS k, c_name AS n, CAST(NULL AS DOUBLE) AS b FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier",
-    ),
-    "mv_expand_whole": (
-        "part | extend w=split(p_type, ' ') | mv-expand w to typeof(string) | summarize n=count() by w",
-        "SELECT count(*) AS n, w FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part) GROUP BY w",
-    ),
-    "mv_apply_whole": (
-        "part | extend w=split(p_type, ' ') | mv-apply w to typeof(string) on (summarize n=count(), m=max(w)) | project n, m",
-        "SELECT CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n, list_max(string_split(p_type, ' ')) AS m FROM part",
-    ),
-    "vectors_whole": (
-        "embeddings | project vec_id, d=round(series_dot_product(embedding, embedding), 4)",
-        "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS d FROM embeddings",
-    ),
     "lets": (
         "let f = (x:real) { x * 1.1 }; let big = orders | where o_totalprice > 200000; big | summarize n=count() | extend y=round(f(10.0), 3)",
         "SELECT count(*) AS n, 11.0::DOUBLE AS y FROM orders WHERE o_totalprice > 200000",
@@ -174,6 +154,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
 }
 
 
+QUERIES |= family_queries.QUERIES
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     out = Engine(spark)
     for name in TABLES:
@@ -182,8 +165,9 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).query(text)) for name, (text, _) in QUERIES.items()}
+    texts = {name: (lambda spark, sf_dir, text=text: engine(spark, sf_dir).query(text)) for name, (text, _) in QUERIES.items()}
+    return texts | {name: run for name, (run, _) in family_queries.RUNS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in (QUERIES | family_queries.RUNS).items() if sql}

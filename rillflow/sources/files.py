@@ -12,12 +12,9 @@ from ..plans import typed as ty
 from ..plans.frame import Frame, from_spark, ref
 from ..plans.typed import Typed
 
-SAMPLE = 100
-
 
 def _guess(df: DataFrame) -> dict[str, str]:
-    """Types of text columns by their first rows: datetime, bool, long, real, else string."""
-    rows = df.limit(SAMPLE)
+    """Types of text columns that all of their rows fit: datetime, bool, long, real, else string.  One pass over the files."""
     tests: dict[str, Callable[[Column], Column]] = {
         "datetime": lambda c: F.try_to_timestamp(c).isNotNull() & c.rlike(r"^\d{4}-\d\d?-\d\d?"),
         "bool": lambda c: F.lower(c).isin("true", "false"),
@@ -26,7 +23,7 @@ def _guess(df: DataFrame) -> dict[str, str]:
     }
     full = lambda n: (ref(n).isNotNull()) & (ref(n) != "")
     aggs = [F.coalesce(F.every(F.when(full(n), f(ref(n)))), F.lit(False)).alias(f"{i}.{k}") for i, n in enumerate(df.columns) for k, f in tests.items()]
-    got = rows.agg(*aggs).first()
+    got = df.agg(*aggs).first()
     return {n: next((k for k in tests if got[f"{i}.{k}"]), "string") for i, n in enumerate(df.columns)}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import time
 import uuid
@@ -19,17 +21,22 @@ RECEIVED = "_TimeReceived"
 _local: list[str] = []
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Writes a frame to the folder in spark.checkpoint.dir and reads it again, which cuts its lineage."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir; where Spark runs on this machine alone and it is unset, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="rillflow-"))
+            atexit.register(shutil.rmtree, _local[0], True)
         base = "file://" + _local[0]
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Writes a frame to a folder of its own and reads it again, which cuts its lineage."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

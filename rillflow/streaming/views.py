@@ -176,17 +176,24 @@ def plan(engine, name: str) -> Plan:
     return Plan(engine, d["query"], engine.catalog.read(d["table"]))
 
 
-def _store(engine, name: str, states: DataFrame) -> None:
-    """Writes the states to a new folder and points the definition at it, so readers see the old or the new."""
+#: Versions of a view's states that stay for readers that began before a merge.
+KEEP = 4
+
+
+def _store(engine, name: str, states: DataFrame, marks: dict | None = None) -> None:
+    """Writes the states to a new folder and points the definition at it, so readers see the old or the new.
+
+    ``marks`` goes into the same small file: what the states hold is known with them.
+    """
     import uuid
 
     d = definition(engine, name)
     path = f"{engine.catalog.root}/_views/{name}/{uuid.uuid4().hex}"
     states.write.parquet(path)
-    old = d.get("states")
-    engine.catalog.save(f"_views/{name}/view.json", d | {"states": path})
-    if old:
-        engine.catalog.delete(old[len(engine.catalog.root) + 1 :])
+    old = [*d.get("old", []), *([d["states"]] if d.get("states") else [])]
+    engine.catalog.save(f"_views/{name}/view.json", d | (marks or {}) | {"states": path, "old": old[-KEEP:]})
+    for gone in old[:-KEEP]:
+        engine.catalog.delete(gone[len(engine.catalog.root) + 1 :])
 
 
 def create(engine, name: str, table: str, text: str) -> None:
@@ -206,17 +213,23 @@ def names(engine) -> list[str]:
     return sorted(s.getPath().getName() for s in listed if engine.catalog.exists(f"_views/{s.getPath().getName()}/view.json"))
 
 
-def absorb(engine, name: str, rows: Frame) -> None:
-    """Merges new rows of the table into a view."""
+def absorb(engine, name: str, rows: Frame, source: str | None = None, batch: int | None = None) -> None:
+    """Merges new rows of the table into a view.  A batch of a source that is in the states already is skipped."""
     p, d = plan(engine, name), definition(engine, name)
+    batches = d.get("batches", {})
+    if source is not None and batch is not None:
+        if batch <= batches.get(source, -1):
+            return
+        batches = batches | {source: batch}
     new = p.states(rows)
     old = engine.spark.read.schema(new.schema).parquet(d["states"])
-    _store(engine, name, p.merge(old.unionByName(new)))
+    _store(engine, name, p.merge(old.unionByName(new)), {"batches": batches})
 
 
 def after_append(engine, table: str, rows: Frame) -> None:
     for name in names(engine):
-        if definition(engine, name)["table"] == table:
+        d = definition(engine, name)
+        if d["table"] == table and not d.get("followed"):  # a stream brings its rows
             absorb(engine, name, rows)
 
 
@@ -228,11 +241,16 @@ def read_view(engine, name: str) -> Frame | None:
 
 
 def follow(engine, name: str, checkpoint: str, once: bool = True):
-    """A streaming query that merges each new file of the table into the view; the checkpoint says which are in."""
+    """A streaming query that merges each new file of the table into the view; the checkpoint says which are in.
+
+    A batch that comes again after a restart is known by its number and skipped.
+    From then on appends reach the view by the stream alone.
+    """
     d = definition(engine, name)
+    engine.catalog.save(f"_views/{name}/view.json", d | {"followed": True})
     types = engine.catalog.schema(d["table"])
     stream = engine.spark.readStream.schema(_schema(types)).parquet(f"{engine.catalog.root}/{d['table']}/data")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: absorb(engine, name, from_spark(rows, types)))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, k: absorb(engine, name, from_spark(rows, types), checkpoint, k))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
