@@ -11,14 +11,17 @@ best score over the pivots' own rows.
 
 Queries go out in blocks of ``QUERIES`` at the most by hash, one pass over the
 index for each; each task sends its k best for each query, never all pairs.
-Vectors are whole numbers, floor(256 x), so scores are exact.
+Vectors are whole numbers, floor(256 x).  Scores are exact: products of doubles
+while the largest squared norm is below 2**53, of 64-bit integers below 2**62;
+beyond that a score may leave 64 bits, which is an error.
 
 Pivots are a documented bounded sample: the ``PIVOTS`` rows with the smallest
 hash of their id.  All rows are indexed.
 
 Defined cases: a vector that is null, empty, or holds null or non-finite
 components takes no part; so does one of another length than a query's, for that
-query.  Rows that share a query's id are its own.  Repeated rows under other ids
+query.  Rows that share a query's id are its own; queries that share an id are
+one, with the best scores of any of their vectors, a row counted once for each.  Repeated rows under other ids
 are candidates each; a null id is no query and no candidate.  An empty table
 gives none.
 """
@@ -59,13 +62,18 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def products(q: np.ndarray, x: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers held as doubles, as 64-bit integers."""
+    return np.rint(q @ x.T).astype(np.int64) if most < 2.0**53 else q.astype(np.int64) @ x.astype(np.int64).T
+
+
 def searched(batches: Iterator[pd.DataFrame], q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, most: float, floor: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
     """Each query's k best rows of a sorted range of the index, by sorted annuli."""
     norm = (q * q).sum(axis=1)
     # The query lies on the sphere's equator: its added component is 0, its norm its own.
     far = np.sqrt(np.maximum(norm[:, None] + most - 2 * q @ pivots[:, :-1].T, 0))
     kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-    least = floor.astype(np.float64).copy()
+    least, widest = floor.copy(), max(most, float(norm.max()))
     for batch in batches:
         x = np.array(batch["v"].tolist(), dtype=np.float64).reshape(len(batch), -1)
         ids, pivot, distance = (batch[c].to_numpy() for c in ("vec_id", "pivot", "distance"))
@@ -76,12 +84,16 @@ def searched(batches: Iterator[pd.DataFrame], q_ids: np.ndarray, q: np.ndarray,
         low, high = np.array([distance[a:b].min() for a, b in rings]), np.array([distance[a:b].max() for a, b in rings])
         near = np.maximum(np.maximum(far[:, own] - high, low - far[:, own]), 0)
         bound = (norm[:, None] + most - near * near) / 2 + 1e-6 * (1 + most)
-        for r in np.argsort(near.min(axis=0), kind="stable"):
+        closest = near.min(axis=0)
+        top_bound = (norm.max() + most - closest * closest) / 2 + 1e-6 * (1 + most)
+        for r in np.argsort(closest, kind="stable"):
+            if top_bound[r] < least.min():
+                break  # no annulus from here on can hold a row for any query
             a, b = rings[r]
             open_ = np.flatnonzero(bound[:, r] >= least)
             if not len(open_):
                 continue
-            scores = np.rint(q[open_] @ x[a:b].T).astype(np.int64)
+            scores = products(q[open_], x[a:b], widest)
             scores[ids[a:b][None, :] == q_ids[open_][:, None]] = np.iinfo(np.int64).min
             for row, s in zip(open_, scores):
                 new = np.flatnonzero((s >= least[row]) & (s > np.iinfo(np.int64).min))
@@ -104,7 +116,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS,
     parts: list[DataFrame] = []
     for (length,) in [r for r in asked.select(F.size("v")).distinct().sort(F.size("v")).collect()]:
         own = vectors.filter(F.size("v") == length)
-        squares = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
+        squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
         most, n = own.agg(F.max(squares), F.count("*")).first()
         if not n:
             continue
@@ -118,15 +130,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS,
         index = own.mapInPandas(lambda b, p=chosen, m=most: keyed(b, p, m), shape)
         index = scratch.put(index.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id"), f"index-{length}")
         mine = asked.filter(F.size("v") == length)
+        if max(most, mine.agg(F.max(squares)).first()[0]) >= 2.0**62:
+            raise ValueError("vectors too large: an inner product may not fit 64 bits")
         passes = -(-mine.count() // block)
         for p in range(passes):
             some = mine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).collect()
             if not some:
                 continue
             q_ids, q = np.array([r.vec_id for r in some]), np.array([r.v for r in some], dtype=np.float64).reshape(len(some), -1)
-            scores = np.rint(q @ seen.T).astype(np.int64)
+            scores = products(q, seen, max(most, float((q * q).sum(axis=1).max())))
             floor = [np.sort(s[seen_ids != i])[-k] if (seen_ids != i).sum() >= k else np.iinfo(np.int64).min for i, s in zip(q_ids, scores)]
-            sent = spark.sparkContext.broadcast((q_ids, q, chosen, most, np.array(floor)))
+            sent = spark.sparkContext.broadcast((q_ids, q, chosen, most, np.array(floor, dtype=np.int64)))
             parts.append(index.mapInPandas(lambda b, s=sent: searched(b, *s.value, k), schema))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -93,6 +93,23 @@ def test_top_k(spark):
     assert collected(topk.top_k(none, none)) == []
 
 
+def test_top_k_of_large_components(spark):
+    """Scores beyond 2**53 are those of Python's integers; those that may leave 64 bits are refused."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-1_000_000, 1_000_000)) for _ in range(40)]) for i in range(60)]
+    rows += [(100 + i, rows[i][1][:-1] + [rows[i][1][-1] + 1.0]) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [256 * int(x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert max(s for *_, s in want) > 2**53
+    same(collected(topk.top_k(frame, frame.filter("vec_id % 50 = 0"), pivots=4)), want)
+    with pytest.raises(ValueError):
+        topk.top_k(frame.withColumn("embedding", F.transform("embedding", lambda x: x * 1e6)), frame.limit(1))
+
+
 def test_near_duplicates(docs, rows, empty, repeated):
     want = brute.near(rows)
     for block in (512, 3):
