@@ -2,11 +2,13 @@
 
 The index holds, for each licence word, its postings (template, position), and
 its inverse document frequency over the whole corpus, counted in a first pass.
-A document is looked up by the rarest words of each template; where the words'
-relative positions agree, the template's mandatory key phrase is verified word
-by word at that place, and then the share of the template's IDF weight that
-stands there.  A key phrase that is the whole template is found at every place,
-because each of its occurrences holds its rarest word.
+A file's licence words are taken from the highest IDF down.  Each is looked up
+for the templates whose key phrases the file can hold, by their words; a template
+starts with the relative positions (shifts) of its first such word and keeps
+those in which the next ones agree, ``RARE`` words in all.  At the shifts that
+are left its mandatory key phrase is verified word by word, and then the share
+of the template's IDF weight that stands there.  A true occurrence agrees in all
+of its words, so none is lost.
 
 Fixed values: the three base phrases and their labels.
 
@@ -60,16 +62,20 @@ class Templates:
             own = notice.encode().split()
             self.items.append((label, key.encode().split(), own, False))
         self.idf = idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
+        #: word: (template, its places in the key phrase)
+        self.postings: dict[bytes, list[tuple[int, list[int]]]] = {}
         self.key_at: list[int] = []
-        for t, (_, key, notice, base) in enumerate(self.items):
+        self.need: list[frozenset[bytes]] = []
+        marks = set()
+        for t, (_, key, notice, _) in enumerate(self.items):
             at = next(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
             self.key_at.append(at)
-            rare = sorted(set(key), key=lambda w: (-idf[w], w))[: 1 if base else RARE]
-            for i in range(at, at + len(key)):
-                if notice[i] in rare and (not base or notice.index(notice[i], at) == i):
-                    self.postings.setdefault(notice[i], []).append((t, i))
-        self.marks = [b" " + w + b" " for w in self.postings]
+            self.need.append(frozenset(key))
+            for w in set(key):
+                self.postings.setdefault(w, []).append((t, [at + i for i, x in enumerate(key) if x == w]))
+            marks.add(min(key, key=lambda w: (-idf[w], w)))
+        #: Every key phrase holds one of these.
+        self.marks = [b" " + w + b" " for w in sorted(marks)]
 
     @staticmethod
     def vocabulary() -> list[bytes]:
@@ -77,12 +83,22 @@ class Templates:
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[str, float]]:
         """Places (template, start) of base phrases, and each label's score."""
-        votes: Counter = Counter()
+        places: dict[bytes, list[int]] = {}
         for d, word in enumerate(words):
-            for t, i in self.postings.get(word, ()):
-                votes[t, d - i] += 1
+            if word in self.postings:
+                places.setdefault(word, []).append(d)
+        shifts: dict[int, set[int]] = {}
+        open_ = {t: min(RARE, len(n)) for t, n in enumerate(self.need) if all(w in places for w in n)}
+        for word in sorted(places, key=lambda w: (-self.idf[w], w)):
+            if not any(open_.values()):
+                break
+            for t, at in self.postings[word]:
+                if open_.get(t):
+                    open_[t] -= 1
+                    agree = {d - i for d in places[word] for i in at}
+                    shifts[t] = shifts[t] & agree if t in shifts else agree
         base, scores = [], {}
-        for (t, shift), _ in sorted(votes.items()):
+        for t, shift in sorted((t, x) for t, found in shifts.items() for x in found):
             label, key, notice, is_base = self.items[t]
             at = shift + self.key_at[t]
             if at < 0 or words[at : at + len(key)] != key:

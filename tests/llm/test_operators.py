@@ -200,6 +200,19 @@ def test_accepted_values_are_marked_without_a_word_before_them(spark):
     assert [got[i] for i in range(100, 104)] == ["phone:14:28", "phone:0:14", "phone:12:26", ""]
 
 
+def test_patterns_of_words_on_both_sides(spark):
+    """Planted: one word before says nothing alone, the words on both sides do; long texts take linear time."""
+    import time
+
+    rows = [(i, f"ring me on +44 20 79{i:02d} 09{i % 50:02d} any time") for i in range(30)] + [(100 + i, f"spent on 7{i:02d}00-22{i:02d} goods") for i in range(60)]
+    rows += [(300, "so ring me on 020 7946 0123 any day"), (301, "we met on 020 7946 9999 hills")]
+    got = {r.doc_id: r.s for r in pii.extract(frame(spark, rows)).select("doc_id", pii.as_text(F.col("spans")).alias("s")).collect()}
+    assert got[300] == "phone:14:27" and got[301] == "" and all(got[100 + i] == "" for i in range(60))
+    text = ", ".join(f"{i:010d}" for i in range(20_000))
+    began = time.time()
+    assert len(pii.near_spans(text, pii.base_spans(text))) > 1000 and time.time() - began < 5
+
+
 def test_exact_duplicates(docs, rows, empty, repeated):
     same(collected(exact_dedup.exact_duplicates(docs)), brute.exact(rows))
     same(collected(exact_dedup.exact_duplicates(docs, first=2, growth=2)), brute.exact(rows))

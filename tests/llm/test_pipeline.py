@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "exact_dedup":
             rows = {i: rows[i] for i, low, _, kept, _ in brute.exact(list(rows.items())) if kept}
         elif name == "near_dedup":
-            rows = {i: rows[i] for i, (_, c) in brute.near(list(rows.items())).items() if i == c}
+            rows = {i: rows[i] for i, (_, c) in brute.near(list(rows.items()), 80).items() if i == c}
         elif name == "pii":
             for i in rows:
                 text = rows[i] or ""
@@ -72,3 +72,27 @@ def test_quality_decides_by_row(spark, sf_dir):
     nulls = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(labelled), F.col("doc_id")))
     assert nulls.filter("doc_id is null").count() > 1
     assert corpus_pipeline.quality_stage(spark, nulls, sf_dir).count() == good
+
+
+def test_every_stage_takes_odd_rows_and_clashing_columns(spark, sf_dir):
+    """Nulls in all columns, empty and very long texts, ties, and columns named like those that stages make."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(30)
+    long = " ".join(f"w{i % 977}x{i}" for i in range(40_000)) + " mail a.b@c.example"
+    odd = [(None, None, None, None, None), (5000, "", None, "s", 0), (5001, long, "en", None, len(long)), (5001, long, "en", "s", len(long)), (5002, "call +44 20 7946 0958", "en", "s", 21), (5002, None, "en", "s", None)]
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema))
+    clashes = ("kept_id", "id", "spans", "row", "tie", "start", "n", "component", "kept", "doc", "label", "score")
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(clashes)))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir).collect()
+        assert got, name
+        if name != "packing":
+            assert got[0].__fields__ == corpus_pipeline.COLUMNS
+        if name == "exact_dedup":
+            assert sum(r.doc_id == 5001 for r in got) == 1 and sum(r.text is None or r.text == "" for r in got) == 1
+        if name == "near_dedup":
+            assert sum(r.doc_id == 5001 for r in got) == 1
+        if name == "pii":
+            assert sorted(r.text or "" for r in got if r.doc_id == 5002) == ["", "call <phone>"]
+            assert all(r.text.endswith("mail <email>") for r in got if r.doc_id == 5001)
+        if name == "packing":
+            assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()}
