@@ -36,7 +36,7 @@ def _numbered(spark: SparkSession, docs: DataFrame, by_id: bool = False) -> Data
 
 def _texts(rows: DataFrame) -> DataFrame:
     """What an operator takes, with the row's number as its id."""
-    return rows.select(F.col("row").alias("doc_id"), "text")
+    return rows.select(F.col("row").alias("doc_id"), "text", "n_chars")
 
 
 def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:

@@ -1,17 +1,19 @@
 """A quality classifier: a factorisation machine on hashed words and the text's structure.
 
-Features of a text: its words, hashed to ``WORDS`` places and weighted by the
-logarithm of their counts; and ``STATS`` statistics of its structure, each
-marked in one of ``STEPS`` steps.  The text alone gives them.  Pairwise
-interactions come from low-rank factors in linear time, as half the difference
-of the square of sums and the sum of squares.
+Features of a row: its text's words, hashed to ``WORDS`` places and weighted by
+the logarithm of their counts; and ``STATS`` statistics, each marked in one of
+``STEPS`` steps: those of the text's structure, and one of metadata, the stated
+length ``n_chars`` in steps of its logarithm.  Pairwise interactions come from
+low-rank factors in linear time, as half the difference of the square of sums
+and the sum of squares.
 
 The model is fitted on the driver on at most ``SAMPLE`` labelled rows, those
 with the smallest hash of their id; every row is scored, whole, on the
 executors.  The model has a fixed size of about 2.4 MB.
 
 Defined cases: null or empty text has the statistics of an empty text and a
-score like any other; rows and ids may repeat or be null; without labelled rows
+score like any other; an ``n_chars`` that is missing, null, negative or no number
+has a step of its own; rows and ids may repeat or be null; without labelled rows
 every score is 0.5.  Other columns are ignored, an empty table gives none.
 """
 
@@ -29,7 +31,7 @@ from .hashing import U, Words, buffers, spans
 BITS, RANK, STEPS, SAMPLE, THRESHOLD = 16, 8, 16, 8_000, 0.3
 WORDS = 1 << BITS
 CLASSES = ("upper", "punctuation", "digit", "other", "mark", "line")
-STATS = len(CLASSES) + 8
+STATS = len(CLASSES) + 8 + 1
 SIZE = WORDS + STATS * STEPS
 
 _kind = np.zeros((256, len(CLASSES)), dtype=bool)
@@ -42,7 +44,7 @@ _kind[np.frombuffer(b"!#$%&*|", np.uint8), 4] = True
 _kind[10, 5] = True
 
 
-def features(words: Words, kind: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: Words, kind: np.ndarray, data: np.ndarray, offsets: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers, values, and where each text's begin."""
     starts, ends, first = words.borders(data, offsets)
     hashes = words.hashes(data, starts, ends)
@@ -70,6 +72,8 @@ def features(words: Words, kind: np.ndarray, data: np.ndarray, offsets: np.ndarr
     long_ = np.bincount(doc, length, minlength=len(n)) / np.maximum(n, 1)
     stats += [np.bincount(who, minlength=len(n)) / np.maximum(n, 1), per(same, doc, n), most / np.maximum(n, 1), np.minimum(long_ / 24, 1), np.log1p(n) / 12, per(marked, doc, n), per(pair, doc, n), per(length == 1, doc, n)]
     step = np.minimum((np.sqrt(np.clip(np.stack(stats, axis=1), 0, 1)) * STEPS).astype(np.int64), STEPS - 1)
+    stated = np.where(chars >= 0, chars, 0)  # NaN, for null, is not
+    step = np.column_stack([step, np.where(chars >= 0, 1 + np.minimum(np.log2(1 + stated) / 24 * (STEPS - 1), STEPS - 2), 0).astype(np.int64)])
     value = np.log1p(count)
     norm = np.sqrt(np.bincount(who, value * value, minlength=len(n)))
     value = value / np.maximum(norm, 1e-9)[who]
@@ -130,14 +134,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
     words = Words(71, lower=True)
     for batch in batches:
         data, offsets = buffers(batch.column(1))
+        chars = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
         for i, j in spans(offsets):
-            yield batch, i, j, features(words, _kind, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch, i, j, features(words, _kind, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], chars[i:j])
 
 
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, i, j, (index, values, cut) in _each(batches):
         at = pa.array(cut.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values))], names=["doc_id", "label", "index", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(3).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(values))], names=["doc_id", "label", "index", "value"])
 
 
 def scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
@@ -149,13 +154,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
+def _inputs(docs: DataFrame) -> DataFrame:
+    """doc_id, text, chars: all that scores are made from, and the id they go with."""
+    chars = F.expr("try_cast(n_chars as double)") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", chars.alias("chars"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fitted on the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     # At most ``sample`` rows of two numbers, whatever the corpus.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "chars", "label")
     # Rows that repeat an id go with the sample's; the limit holds for them as well.
     table = rows.mapInArrow(sampled, "doc_id long, label int, index array<int>, value array<float>").limit(2 * sample).toArrow()
     machine = Machine()
@@ -171,5 +182,5 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: scored(b, sent.value), "doc_id long, score double")
+    rows = _inputs(docs).mapInArrow(lambda b: scored(b, sent.value), "doc_id long, score double")
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

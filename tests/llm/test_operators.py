@@ -309,6 +309,19 @@ def test_quality(spark, sf_dir, empty, repeated):
     out = [r for r in got if r.out]
     assert sum(r.predicted == r.quality for r in out) / len(out) >= 0.93
     assert collected(quality.score(empty, machine)) == [] and quality.score(repeated, machine).count() == 7
+    def numbers(df):
+        return {r.doc_id: r.score for r in quality.score(df, machine).collect()}
+
+    plain, few = docs.limit(50), numbers(docs.limit(50))
+    assert few == numbers(plain.withColumn("lang", F.lit("x")).withColumn("source", F.lit(None)).withColumn("label", F.lit(1)).withColumn("chars", F.lit("c")))
+    assert few != numbers(plain.withColumn("n_chars", F.lit(1)))
+    for unknown in (plain.drop("n_chars"), plain.withColumn("n_chars", F.lit(-5)), plain.withColumn("n_chars", F.lit("many"))):
+        assert numbers(unknown) == numbers(plain.withColumn("n_chars", F.lit(None)))
+    # Labels of the held-out fold, repeated ones and nulls teach nothing else.
+    bent = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("text", F.lit("t"))
+    bent = bent.unionByName(labels.withColumn("text", F.lit("u"))).filter("text = 't' or doc_id % 2 = 0").unionByName(labels.limit(3).withColumn("quality", F.lit(None)).withColumn("text", F.lit("v")))
+    again = quality.fit(docs, bent)
+    assert (again.w == machine.w).all() and (again.v == machine.v).all() and again.bias == machine.bias
     none = quality.fit(empty, labels.limit(0))
     assert {r.score for r in quality.score(repeated, none).collect()} == {0.5}
 
