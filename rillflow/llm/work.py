@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Scratches that belong to the ``settled`` that is running.
+_made: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +60,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None, path: str | None = None):
         self.spark, self.batch_rows = spark, batch_rows
         self.path = path.rstrip("/") if path else f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if not path and (made := _made.get()) is not None:
+            made.append(self)
 
     def put(self, frame: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -67,10 +73,15 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"{self.path}/{table}")
+
+    def drop_all(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
@@ -78,6 +89,18 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def settled(out: Scratch, table: str, frame: Callable[[], DataFrame]) -> DataFrame:
+    """What ``frame`` gives, put into ``out``; every scratch that was made on the way is deleted."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        return out.put(frame(), table)
+    finally:
+        _made.reset(token)
+        for scratch in made:
+            scratch.drop_all()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file in any file system that Spark can reach; None if there is none."""
     jvm = spark.sparkContext._jvm

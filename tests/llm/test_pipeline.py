@@ -1,9 +1,12 @@
 """The stages, one by one, against plain versions of their decisions."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillflow.llm import quality
+from rillflow.llm.work import shared_folder
 
 from . import brute
 
@@ -39,6 +42,19 @@ def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_only_results_stay_in_the_shared_folder(spark, sf_dir):
+    folder = lambda: set(os.listdir(shared_folder(spark).removeprefix("file://")))
+    before = folder()
+    out = corpus_pipeline.run(spark, sf_dir)
+    (new,) = folder() - before
+    assert new.startswith("pipeline-") and os.listdir(f"{shared_folder(spark).removeprefix('file://')}/{new}") == ["packing"]
+    assert out.count() > 0
+    before = folder()
+    stage = corpus_pipeline.exact_dedup_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    (new,) = folder() - before
+    assert new.startswith("exact-dedup-stage-") and stage.count() > 0
+
+
 def test_near_dedup_takes_a_similarity_of_80_percent(spark):
     words = [f"w{i}" for i in range(104)]
     texts = [" ".join(words), " ".join([*words[:93], *(f"v{i}" for i in range(11))]), " ".join(f"u{i}" for i in range(50))]
