@@ -1,13 +1,26 @@
 """Packing documents into training sequences beside their lexical neighbours.
 
-Each shard of ``SHARD`` documents has a BM25 inverted index over the ids of its
-documents.  Whole windows are cut off long documents; what is left is placed by
-retrieval: a seed's best unused neighbours fill its window, the last one is cut
+``cut``: texts are encoded once; whole windows of long documents are pieces as
+they stand, and the rest of each document (less than a window) is written.  With
+the rests goes a count, by id, of the documents that hold it.
+
+``Stats``: BM25's document frequencies and document count over all documents,
+whole texts, and the mean length of all rests.  Two numbers for each id of the
+vocabulary, whatever the corpus.
+
+``routed``: the index is sharded by content, not by file.  Each rest draws
+``DRAWS`` of its ids, in races that are the same for all documents and weighted
+by idf squared (a weighted min-hash): rests draw equal ids the more often the more
+weight they share.  Rests are range-partitioned and sorted by what they drew,
+then by a unique row number, so a group of copies of any size is split.
+
+``Packer``: each run of ``SHARD`` sorted rests is a shard with a BM25 inverted
+index.  A seed's best unused neighbours fill its window, the last one is cut
 where the window ends, and its tail is the next seed.  So every window is full.
 The last window of a partition is split into lengths that are powers of two,
 which need no padding.
 
-Shards follow the input's partitions: no shuffle, and one shard in memory.
+A seed is answered by its own shard; other shards hold rests that drew other ids.
 Ids that more than a quarter of a shard's documents hold are scored from a dense
 block, a row for each; an id of one document alone scores no other.
 
@@ -19,6 +32,7 @@ gives no sequence.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +41,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer_files
+from .work import Scratch
 
-LENGTH, SHARD, END = 2048, 512, 1
+LENGTH, SHARD, END, DRAWS = 2048, 512, 1, 8
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Whole windows have a sequence and no row; rests a row and no sequence; counts of ids neither.
+CUT = f"{PIECES}, row long, terms array<int>, holders array<long>, documents long"
+
+
+class Stats(NamedTuple):
+    """What BM25 takes from the corpus: the idf of each id, the mean length; and the places of ids in each race."""
+
+    idf: np.ndarray
+    mean: float
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, terms: np.ndarray, holders: np.ndarray, documents: int, mean: float) -> Stats:
+        """From the number of documents that hold each of terms."""
+        df = np.zeros(int(terms.max(initial=0)) + 1)
+        df[terms] = holders
+        idf = np.log1p((documents - df + 0.5) / (df + 0.5))
+        weight = np.where(df > 1, idf * idf, 0) + 1e-12
+        race = np.random.default_rng(0).standard_exponential((len(df), DRAWS)).T / weight
+        return cls(idf, mean, np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1, kind="stable").astype(">u4"))
+
+    def route(self, ids: np.ndarray) -> bytes:
+        """The winner of each race among ids, as its place among all ids; orders as bytes."""
+        return self.places[:, ids].min(axis=1).tobytes()
 
 
 class Index:
-    """BM25 scores of a shard's documents for one of them."""
+    """BM25 scores of a shard's documents for one of them; without ``stats`` the shard is the corpus."""
 
-    def __init__(self, docs: list[np.ndarray], common: float = 0.25):
+    def __init__(self, docs: list[np.ndarray], common: float = 0.25, stats: Stats | None = None):
         pairs = [np.unique(d, return_counts=True) for d in docs]
         term = np.concatenate([t for t, _ in pairs])
         tf = np.concatenate([c for _, c in pairs]).astype(np.float64)
         doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])
         self.terms, place = np.unique(term, return_inverse=True)
         df = np.bincount(place)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+        idf = stats.idf[self.terms] if stats else np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         size = np.array([len(d) for d in docs], dtype=np.float64)
-        weight = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / size.mean()))
+        weight = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / (stats.mean if stats else size.mean())))
         often = df > max(2, common * len(docs))
         use = ~often[place] & (df > 1)[place]
         order = np.flatnonzero(use)[np.argsort(place[use], kind="stable")]
@@ -70,11 +109,11 @@ class Index:
 
 
 class Packer:
-    """Pieces of one partition.  ``shard`` takes documents' ids; ``close`` ends the open window."""
+    """Pieces of one partition.  ``shard`` takes rests as (doc_id, start, ids, tokens of the document); ``close`` ends the open window."""
 
-    def __init__(self, first: int, length: int):
-        self.sequence, self.length = first, length
-        self.open: list[tuple[int, int, int]] = []  # document, start, length
+    def __init__(self, first: int, length: int, stats: Stats | None = None):
+        self.sequence, self.length, self.stats = first, length, stats
+        self.open: list[tuple[int, int, int]] = []  # rest, start in it, length
         self.filled = 0
         self.out: list[tuple] = []
         self.docs: list[tuple] = []
@@ -88,59 +127,46 @@ class Packer:
     def _end(self) -> None:
         offset = 0
         for doc, start, length in self.open:
-            name, ids = self.docs[doc]
-            self.out.append((name, start, length, ids[start : start + length].tobytes(), len(ids), self.sequence, offset))
+            name, first, ids, tokens = self.docs[doc]
+            self.out.append((name, first + start, length, ids[start : start + length].tobytes(), tokens, self.sequence, offset))
             offset += length
         self.sequence, self.open, self.filled = self.sequence + 1, [], 0
 
     def _fill(self, doc: int, start: int) -> int:
-        """Puts what fits of a document from start on; where the rest starts."""
-        n = min(len(self.docs[doc][1]) - start, self.length - self.filled)
+        """Puts what fits of a rest from start on; where its tail starts."""
+        n = min(len(self.docs[doc][2]) - start, self.length - self.filled)
         self._add(doc, start, n)
         return start + n
 
     def shard(self, docs: list[tuple]) -> None:
         base = len(self.docs)
         self.docs += docs
-        left, rest = {}, []
-        for i, (_, ids) in enumerate(docs):
-            whole, n = len(ids) // self.length * self.length, len(ids)
-            for start in range(0, whole, self.length):
-                held = self.open, self.filled
-                self.open, self.filled = [], 0
-                self._add(base + i, start, self.length)
-                self.open, self.filled = held
-            if n > whole:
-                left[i] = whole
-                rest.append(i)
-        if not rest:
-            return
-        index = Index([docs[i][1][left[i] :] for i in rest])
-        unused = np.ones(len(rest), dtype=bool)
-        at, first = {r: left[i] for r, i in enumerate(rest)}, 0
+        sizes = [len(ids) for _, _, ids, _ in docs]
+        index = Index([ids for _, _, ids, _ in docs], stats=self.stats)
+        unused = np.ones(len(docs), dtype=bool)
+        at, first = [0] * len(docs), 0
         tail: int | None = None
         while True:
             if tail is None:
-                while first < len(rest) and not unused[first]:
+                while first < len(docs) and not unused[first]:
                     first += 1
-                if first == len(rest):
+                if first == len(docs):
                     break
                 tail = first
                 unused[tail] = False
             seed, tail = tail, None
-            scores = index.scores(seed)
-            now = self._fill(base + rest[seed], at[seed])
-            if now < len(docs[rest[seed]][1]):
-                at[seed], tail = now, seed
+            at[seed] = self._fill(base + seed, at[seed])
+            if at[seed] < sizes[seed]:
+                tail = seed
                 continue
             if not self.filled:
                 continue
-            for r in np.argsort(-scores, kind="stable"):
+            for r in np.argsort(-index.scores(seed), kind="stable"):
                 if unused[r]:
                     unused[r] = False
-                    now = self._fill(base + rest[r], at[r])
-                    if now < len(docs[rest[r]][1]):
-                        at[r], tail = now, int(r)
+                    at[r] = self._fill(base + r, at[r])
+                    if at[r] < sizes[r]:
+                        tail = int(r)
                     if not self.filled:
                         break
 
@@ -170,32 +196,92 @@ class Packer:
         self.length = full
 
 
-def packed(batches: Iterator[pa.RecordBatch], file: str, pattern: str, length: int, shard: int) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _schema(*more: tuple) -> pa.Schema:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.schema([*zip([x.split()[0] for x in PIECES.split(", ")], kinds), *more])
+
+
+def _place() -> int:
+    context = TaskContext.get()
+    return (context.partitionId() if context else 0) << 40
+
+
+def cut(batches: Iterator[pa.RecordBatch], file: str, pattern: str, length: int) -> Iterator[pa.RecordBatch]:
+    """Whole windows, rests, and at the end the counts of ids of one partition."""
     cache = tokenizer_files.IdCache(file, pattern)
     end = np.array([END], dtype="<u4").tobytes()
-    context = TaskContext.get()
-    packer = Packer((context.partitionId() if context else 0) << 40, length)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    schema = _schema(("row", pa.int64()), ("terms", pa.list_(pa.int32())), ("holders", pa.list_(pa.int64())), ("documents", pa.int64()))
+    row, documents = _place(), 0
+    sequence = row | 1 << 39  # not those of Packer
+    holders, last = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for batch in batches:
+        out = []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = cache.encode(text.as_py() or "") + end
+            ids = np.frombuffer(data, dtype="<u4")
+            if (more := int(ids.max()) + 1 - len(last)) > 0:
+                holders, last = np.pad(holders, (0, more)), np.pad(last, (0, more))
+            at = np.arange(len(ids))
+            last[ids] = at
+            holders[ids[last[ids] == at]] += 1  # each id once
+            whole = len(ids) // length * length
+            for start in range(0, whole, length):
+                out.append((name, start, length, data[4 * start : 4 * (start + length)], len(ids), sequence, 0, None, None, None, None))
+                sequence += 1
+            if whole < len(ids):
+                out.append((name, whole, len(ids) - whole, data[4 * whole :], len(ids), None, None, row, None, None, None))
+                row += 1
+            documents += 1
+        yield _batch(out, schema)
+    if documents:
+        held = np.flatnonzero(holders)
+        yield _batch([(None,) * 8 + (held, holders[held], documents)], schema)
 
-    def rows(pieces: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pieces], kind) for k, kind in enumerate(kinds)], names=names)
 
+def routed(batches: Iterator[pa.RecordBatch], stats: Stats) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        routes = [stats.route(np.frombuffer(x, dtype="<u4")) for x in batch.column("ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.binary())], names=[*batch.schema.names, "route"])
+
+
+def packed(batches: Iterator[pa.RecordBatch], stats: Stats, length: int, shard: int) -> Iterator[pa.RecordBatch]:
+    packer, schema = Packer(_place(), length, stats), _schema()
     waiting: list[tuple] = []
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            waiting.append((name, np.frombuffer(cache.encode(text.as_py() or "") + end, dtype="<u4")))
+        for name, start, data, tokens in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "start", "ids", "doc_tokens"))):
+            waiting.append((name, start, np.frombuffer(data, dtype="<u4"), tokens))
             if len(waiting) == shard:
                 packer.shard(waiting)
                 waiting = []
-                yield rows(packer.take())
+                yield _batch(packer.take(), schema)
     if waiting:
         packer.shard(waiting)
     packer.close()
-    yield rows(packer.take())
+    yield _batch(packer.take(), schema)
+
+
+def corpus_stats(pieces: DataFrame) -> Stats:
+    """From what ``cut`` wrote: a row for each id of the vocabulary, and one more, come to the driver."""
+    counts = pieces.filter("documents IS NOT NULL")
+    held = counts.select(F.explode(F.arrays_zip("terms", "holders")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.holders").alias("n")).collect()
+    documents = counts.agg(F.sum("documents")).first()[0] or 0
+    mean = pieces.filter("row IS NOT NULL").agg(F.avg("length")).first()[0] or 1.0
+    return Stats.of(np.array([r.term for r in held], dtype=np.int64), np.array([r.n for r in held], dtype=np.int64), documents, mean)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, folder: str | None = None) -> DataFrame:
     """Pieces with their ids (little-endian unsigned 32-bit): doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    file, pattern = tokenizer_files.library_file(docs.sparkSession, folder), tokenizer_files.pattern()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: packed(b, file.value, pattern, length, shard), PIECES)
+    spark = docs.sparkSession
+    file, pattern = tokenizer_files.library_file(spark, folder), tokenizer_files.pattern()
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = Scratch(spark, "packing").put(texts.mapInArrow(lambda b: cut(b, file.value, pattern, length), CUT), "cut")
+    stats = spark.sparkContext.broadcast(tuple(corpus_stats(pieces)))  # plain arrays: workers may lack the package
+    rests = pieces.filter("row IS NOT NULL").select("doc_id", "start", "ids", "doc_tokens", "row")
+    rests = rests.mapInArrow(lambda b: routed(b, Stats(*stats.value)), "doc_id long, start long, ids binary, doc_tokens long, row long, route binary")
+    rests = rests.repartitionByRange("route", "row").sortWithinPartitions("route", "row")
+    return pieces.filter("sequence_id IS NOT NULL").select(*names).unionAll(rests.mapInArrow(lambda b: packed(b, Stats(*stats.value), length, shard), PIECES))

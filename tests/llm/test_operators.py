@@ -177,6 +177,57 @@ def test_ids_that_many_documents_hold_are_scored():
     assert min(index.scores(0)[:10]) > max(index.scores(0)[10:])
 
 
+def apart(count, gap):
+    """Pairs of near copies, ``gap`` rows between their halves, with equal lengths."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(100)) for _ in range(count)]
+    return [(k, t) for k, t in enumerate(texts + [t.replace("w1", "v1", 1) for t in texts])][: count + gap]
+
+
+def test_packing_counts_over_the_whole_corpus(spark, docs, rows):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_files.path(tokenizer_files.IDS))
+    texts = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in rows]
+    rests = [x[len(x) // 2048 * 2048 :] for x in texts]
+    file, pattern, cut = tokenizer_files.library_file(spark), tokenizer_files.pattern(), packing.cut
+    pieces = docs.select("doc_id", "text").repartition(5).mapInArrow(lambda b: cut(b, file.value, pattern, 2048), packing.CUT)
+    stats = packing.corpus_stats(pieces)
+    assert stats.mean == pytest.approx(sum(map(len, rests)) / sum(map(bool, rests)))
+    for term in {x for ids in texts for x in ids}:
+        df = sum(term in set(ids) for ids in texts) if term % 50 == 1 else None
+        assert df is None or stats.idf[term] == pytest.approx(np.log1p((len(texts) - df + 0.5) / (df + 0.5)))
+    index, own = packing.Index([np.array(x) for x in rests[-40:]], stats=stats), [set(x) for x in rests[-40:]]
+    want = 0.0
+    for term in own[3] & own[7]:
+        tf = rests[-33].count(term)
+        want += stats.idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(rests[-33]) / stats.mean))
+    assert index.scores(3)[7] == pytest.approx(want)
+
+
+def test_packing_finds_neighbours_anywhere_in_the_table(spark):
+    """Near copies lie 400 rows apart, shards have 40 rows; in file order no pair would share one."""
+    table = frame(spark, apart(400, 400)).coalesce(1)
+    sequences = {}
+    for r in packing.pack(table, shard=40).collect():
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    together = sum(any(abs(a - b) <= 1 for a in sequences[k] for b in sequences[k + 400]) for k in range(400))
+    assert together >= 320
+
+
+def test_packing_splits_a_group_of_copies(spark):
+    """A third of all rows is one text: its shards are as large as others, every row is packed once."""
+    import numpy as np
+
+    table = apart(300, 0) + [(1000 + k, "the same words again " * 20) for k in range(150)]
+    pieces = packing.pack(frame(spark, table), shard=16).collect()
+    assert sorted(r.doc_id for r in pieces if r.start == 0) == sorted(i for i, _ in table)
+    same(sorted({i: 0 for i, _ in table}.items()), sorted((i, t - n) for i, t, n in {(r.doc_id, r.doc_tokens, sum(p.length for p in pieces if p.doc_id == r.doc_id)) for r in pieces}))
+    stats = packing.Stats.of(np.array([3, 5]), np.array([2, 1]), 9, 4.0)
+    assert stats.route(np.array([3, 5, 5])) == stats.route(np.array([5, 3])) != stats.route(np.array([5]))
+
+
 def test_pii(docs, rows, empty, repeated):
     got = {r.doc_id: r for r in pii.extract(docs).select("*", pii.as_text(F.col("base")).alias("b"), pii.as_text(F.col("spans")).alias("s")).collect()}
     for i, text in rows:
