@@ -106,6 +106,14 @@ def byte_letters() -> list[str]:
 
 def library_piece(tokenizer) -> Callable[[str], bytes]:
     """Ids of one pre-token by the model of a ``tokenizers.Tokenizer``, as little-endian 32-bit integers."""
-    letters = byte_letters()
-    tokenize = tokenizer.model.tokenize
-    return lambda text: array("I", [t.id for t in tokenize("".join([letters[b] for b in text.encode()]))]).tobytes()
+    letters = dict(enumerate(byte_letters()))
+    space, tokenize = letters[32], tokenizer.model.tokenize
+
+    def piece(text: str) -> bytes:
+        if text.isascii() and text.isprintable():  # then only the space has another letter
+            shown = text.replace(" ", space)
+        else:
+            shown = text.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in tokenize(shown)]).tobytes()
+
+    return piece
