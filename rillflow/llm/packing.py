@@ -65,11 +65,11 @@ class Stats(NamedTuple):
         idf = np.log1p((documents - df + 0.5) / (df + 0.5))
         weight = np.where(df > 1, idf * idf, 0) + 1e-12
         race = np.random.default_rng(0).standard_exponential((len(df), DRAWS)).T / weight
-        return cls(idf, mean, np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1, kind="stable").astype(">u4"))
+        return cls(idf, mean, np.argsort(np.argsort(race, axis=1, kind="stable"), axis=1, kind="stable").astype(np.min_scalar_type(len(df))))
 
     def route(self, ids: np.ndarray) -> bytes:
         """The winner of each race among ids, as its place among all ids; orders as bytes."""
-        return self.places[:, ids].min(axis=1).tobytes()
+        return self.places.take(ids, axis=1).min(axis=1).astype(">u4").tobytes()
 
 
 class Index:
