@@ -123,13 +123,13 @@ def parse_ipv4_mask(x, bits):
     return long(F.when((n >= 0) & (n <= 32), masked(address(text(x)), n)))
 
 
-def _delimited(s: Column, word: Column, after: bool) -> Column:
+def _delimited(s: Column, word: Column) -> Column:
     quoted = F.regexp_replace(word, r"([^0-9A-Za-z])", r"\\$1")
-    return F.call_function("rlike", s, F.concat(F.lit("(?<![0-9A-Za-z])"), quoted, F.lit("(?![0-9A-Za-z])" if after else "")))
+    return F.call_function("rlike", s, F.concat(F.lit("(?<![0-9A-Za-z])"), quoted, F.lit("(?![0-9A-Za-z])")))
 
 
 def _has_ipv4(s: Column, ip: Column) -> Column:
-    plain = F.when(address(ip).isNotNull(), _delimited(s, ip, True)).otherwise(False)
+    plain = F.when(address(ip).isNotNull(), _delimited(s, ip)).otherwise(False)
     in_net = F.exists(F.split(s, r"\s+"), lambda w: F.coalesce(in_range(F.regexp_extract(w, r"(\d+\.\d+\.\d+\.\d+)", 1), ip), F.lit(False)))
     return F.when(ip.contains("/"), in_net).otherwise(plain)
 
@@ -145,9 +145,10 @@ def has_any_ipv4(x, *ips):
 
 
 def _has_prefix(s: Column, start: Column) -> Column:
+    """The prefix starts an address: what stands before it is no part of the same one."""
     good = start.rlike(r"^(\d{1,3}\.){1,3}$|^(\d{1,3}\.){3}\d{1,3}$")
-    whole = start.rlike(r"\d$")
-    return F.when(good, F.when(whole, _delimited(s, start, True)).otherwise(_delimited(s, start, False))).otherwise(False)
+    inside = F.concat(F.lit("(?<![0-9]\\.)"), F.lit("(?<![0-9A-Za-z])"), F.replace(start, F.lit("."), F.lit("\\.")), F.when(start.endswith("."), "").otherwise("(?![0-9A-Za-z])"))
+    return F.when(good, F.call_function("rlike", s, inside)).otherwise(False)
 
 
 @function("has_ipv4_prefix")
