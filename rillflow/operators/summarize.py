@@ -60,7 +60,8 @@ def summarize(scope, frame, op):
             raise QueryError("summarize takes aggregates only")
     ordered = any(i.expr.name in ag.ORDERED for i in calls)
     if ordered and frame.order:
-        frame = frame.with_df(frame.df.withColumn(ORDER, F.row_number().over(frame.window())))
+        # The sort is a range shuffle; numbers rise from one of its partitions to the next, with no window over all rows.
+        frame = frame.with_df(frame.df.orderBy(*frame.sort_columns()).withColumn(ORDER, F.monotonically_increasing_id()))
     elif ordered:
         frame = frame.numbered()
     bind = scope.binder(frame)
