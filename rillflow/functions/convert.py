@@ -13,12 +13,12 @@ from .registry import boolean, function, lazy, long, real, string
 @function("toint", "tolong", "int", "long")
 def tolong(x):
     """Text that is no number gives 0; null stays null."""
-    return long(F.when(x.col.isNotNull(), F.coalesce(ty.as_long(x), F.lit(0))))
+    return long(F.coalesce(ty.as_long(x), F.when(x.col.isNotNull(), F.lit(0))))
 
 
 @function("todouble", "toreal", "real", "double")
 def toreal(x):
-    return real(F.when(x.col.isNotNull(), F.coalesce(ty.as_real(x), F.lit(0.0))))
+    return real(F.coalesce(ty.as_real(x), F.when(x.col.isNotNull(), F.lit(0.0))))
 
 
 @function("tostring")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans import typed as ty
 from ..plans.typed import Typed, as_json, text
-from .registry import array, boolean, dynamic, function, in_pandas, json_array, json_object, json_text, long, string, texts
+from .registry import array, boolean, dynamic, function, in_pandas, json_array, json_object, json_text, let, listed, long, string, texts
 
 
 def jsons(x: Typed) -> Column:
@@ -97,7 +97,18 @@ def pack(*xs):
 
 @function("pack_array")
 def pack_array(*xs):
-    return dynamic(json_array(F.array(*[as_json(x) for x in xs])) if xs else F.lit("[]"))
+    if not xs:
+        return dynamic(F.lit("[]"))
+    items = F.array(*[as_json(x) for x in xs])
+    plain = all(x.type in ("long", "int", "bool") for x in xs)
+    nums = None
+    if all(x.type in ty.NUMERIC for x in xs):
+        values = [x.col.cast("double") + F.lit(0.0) for x in xs]
+        broken = [F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False)) for x, v in zip(xs, values) if x.type == "real"]
+        nums = F.array(*values)
+        for b in broken:
+            nums = F.when(~b, nums)
+    return Typed(json_array(items), "dynamic", jsons=items if plain else None, nums=nums, size=len(xs) if nums is not None else None)
 
 
 @function("zip")

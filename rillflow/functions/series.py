@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..plans import typed as ty
 from ..plans.typed import Typed
-from .registry import dynamic, function, json_array, json_object, json_reals, real, reals
+from .registry import dynamic, elementwise, function, json_array, json_object, let, numbers, real, reals
 
 
 def _binary(op):
-    return lambda a, b: dynamic(json_reals(F.zip_with(reals(a), reals(b), op)))
+    return lambda a, b: elementwise(op, a, b)
 
 
 def _compared(op):
@@ -24,12 +24,7 @@ for _name, _op in {"equals": lambda x, y: x == y, "not_equals": lambda x, y: x !
     function("series_" + _name)(_compared(_op))
 _ln = lambda x: F.when(x > 0, F.ln(x))
 for _name, _op in {"abs": F.abs, "sign": F.signum, "ceiling": F.ceil, "floor": F.floor, "log": _ln, "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan}.items():
-    function("series_" + _name)(lambda x, f=_op: dynamic(json_reals(F.transform(reals(x), lambda v: f(v).cast("double")))))
-
-
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    function("series_" + _name)(lambda x, f=_op, finite=_name in ("abs", "sign", "sin", "cos", "atan"): elementwise(lambda v: f(v).cast("double"), x, finite=finite))
 
 
 def _missing(x: Typed, placeholder: Typed | None) -> Column:

@@ -221,14 +221,22 @@ class Binder:
             field = "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" if not re.fullmatch(r"[A-Za-z_]\w*", key) else f"$.{key}"
             one = F.to_json(F.try_variant_get(v, field, "variant"))
             each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, field, "variant"))
-            return Typed(F.when(F.substring(F.ltrim(base.col), 1, 1) == "[", F.to_json(each)).otherwise(one), "dynamic")
+            return Typed(F.coalesce(one, F.to_json(each)), "dynamic")
         key = self(e.key)
         if key.type in ("string", "dynamic"):
             return Typed(F.to_json(F.try_variant_get(v, F.concat(F.lit("$."), ty.text(key)), "variant")), "dynamic")
         array = F.try_variant_get(v, "$", "array<variant>")
+        last = isinstance(e.key, t.Minus) and isinstance(e.key.arg, t.Lit) and e.key.arg.type == "long" and e.key.arg.value > 0
+        if last:
+            num = None if base.nums is None else F.try_element_at(base.nums, F.lit(-e.key.arg.value))
+            return Typed(F.to_json(F.try_element_at(array, F.lit(-e.key.arg.value))), "dynamic", num=num)
+        if base.size is not None and key.const and key.type == "long" and 0 <= key.value < base.size:
+            num = F.get(base.nums, F.lit(key.value))
+            return Typed(F.when(base.nums.isNotNull(), F.coalesce(ty.real_text(num), F.lit("null"))), "dynamic", num=num)
         at = ty.as_long(key)
+        num = F.get(base.nums, F.lit(key.value)) if base.nums is not None and key.const and key.type == "long" and 0 <= key.value < 1 << 31 else None
         at = F.when(at < 0, F.size(array) + at).otherwise(at)
-        return Typed(F.to_json(F.get(array, at.cast("int"))), "dynamic")
+        return Typed(F.to_json(F.get(array, at.cast("int"))), "dynamic", num=num)
 
     def _call(self, e: t.Call) -> Typed:
         from ..functions import registry

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .typed import Typed, type_of
 
 ORDER = "__order"
+#: Start of the hidden columns that hold what a dynamic column's text was made from.
+PARTS = "__parts_"
 
 
 def ref(name: str) -> Column:
@@ -27,20 +29,29 @@ class Frame:
     keys: tuple[str, ...] = ()
     order: tuple[tuple[str, bool], ...] = ()
     marks: dict = field(default_factory=dict)
+    #: The DataFrame that has parts of dynamic columns; one made from it has other rows or columns, and they are parsed again.
+    parts: DataFrame | None = None
+    sizes: dict[str, int | None] = field(default_factory=dict)
 
     @property
     def names(self) -> dict[str, Typed]:
-        return {n: Typed(ref(n), k) for n, k in self.types.items()}
+        if self.parts is not self.df:
+            return {n: Typed(ref(n), k) for n, k in self.types.items()}
+        kept = set(self.df.columns)
+        part = lambda n, what: ref(f"{PARTS}{what}_{n}") if f"{PARTS}{what}_{n}" in kept else None
+        return {n: Typed(ref(n), k, jsons=part(n, "jsons"), nums=part(n, "nums"), size=self.sizes.get(n)) for n, k in self.types.items()}
 
     @property
     def hidden(self) -> list[str]:
-        return [c for c in self.df.columns if c not in self.types]
+        return [c for c in self.df.columns if c not in self.types and not c.startswith(PARTS)]
 
     def select(self, columns: dict[str, Typed], **changes) -> Frame:
         """These columns and the hidden ones."""
-        df = self.df.select(*[x.col.alias(n) for n, x in columns.items()], *[ref(h) for h in self.hidden if h not in columns])
+        found = [(f"{PARTS}{what}_{n}", getattr(x, what)) for n, x in columns.items() for what in ("jsons", "nums")]
+        parts = [c.alias(n) for n, c in found if c is not None]
+        df = self.df.select(*[x.col.alias(n) for n, x in columns.items()], *[ref(h) for h in self.hidden if h not in columns], *parts)
         order = self.order if all(n in columns for n, _ in self.order) else ()
-        return replace(self, df=df, types={n: x.type for n, x in columns.items()}, order=changes.pop("order", order), **changes)
+        return replace(self, df=df, types={n: x.type for n, x in columns.items()}, order=changes.pop("order", order), parts=df if parts else None, sizes={n: x.size for n, x in columns.items()}, **changes)
 
     def with_df(self, df: DataFrame, **changes) -> Frame:
         return replace(self, df=df, **changes)

@@ -30,6 +30,11 @@ class Typed:
     type: str
     value: object = None  # of a literal
     const: bool = False
+    #: Of JSON text that was just made, what it was made from, so that nobody need parse it:
+    jsons: Column | None = None  # an array's elements as JSON texts
+    nums: Column | None = None  # an array's elements as reals, where all are finite numbers or null
+    num: Column | None = None  # a single number
+    size: int | None = None  # of nums, where all rows have the same
 
 
 def literal(value, kind: str) -> Typed:
@@ -97,7 +102,10 @@ def raw_literal(text: str, kind: str) -> Typed:
         value = json.loads(text)
     except ValueError:
         value = json.loads(re.sub(r"'([^'\"]*)'", r'"\1"', text))
-    return Typed(F.lit(None if value is None else canonical(value)).cast("string"), "dynamic", value, True)
+    jsons = nums = None
+    if isinstance(value, list) and value and all(v is None or type(v) in (int, float) and abs(v) < 1e15 and "e" not in repr(v) for v in value):
+        jsons, nums = F.array(*[F.lit(canonical(v)) for v in value]), F.array(*[F.lit(None if v is None else float(v)).cast("double") for v in value])
+    return Typed(F.lit(None if value is None else canonical(value)).cast("string"), "dynamic", value, True, jsons, nums, size=len(value) if nums is not None else None)
 
 
 def canonical(value) -> str:
@@ -159,13 +167,17 @@ def text(x: Typed) -> Column:
     return x.col.cast("string")
 
 
+def json_string(col: Column) -> Column:
+    """A text as a JSON string: the quotes stay when the brackets of an array of it go."""
+    return F.btrim(F.to_json(F.array(col)), F.lit("[]"))
+
+
 def as_json(x: Typed) -> Column:
     """JSON text of a value; null as JSON null."""
     if x.type == "dynamic":
         out = x.col
     elif x.type in ("string", "guid", "datetime", "timespan"):
-        one = F.to_json(F.array(text(x)))
-        out = F.substring(one, F.lit(2), F.length(one) - 2)
+        out = json_string(text(x))
     else:
         out = text(x)
     return F.coalesce(out, F.lit("null"))
@@ -173,7 +185,7 @@ def as_json(x: Typed) -> Column:
 
 def as_real(x: Typed) -> Column:
     if x.type == "dynamic":
-        return F.try_variant_get(F.try_parse_json(x.col), "$", "double")
+        return F.try_variant_get(F.try_parse_json(x.col), "$", "double") if x.num is None else x.num
     if x.type == "datetime":
         return micros(x.col).cast("double") * 1000
     if x.type in ("string", "guid", "null"):
@@ -189,7 +201,7 @@ def as_long(x: Typed) -> Column:
     if x.type == "datetime":
         return micros(x.col) * 1000
     if x.type == "dynamic":
-        return F.try_variant_get(F.try_parse_json(x.col), "$", "double").try_cast("bigint")
+        return as_real(x).try_cast("bigint")
     return F.coalesce(x.col.try_cast("bigint"), x.col.try_cast("double").try_cast("bigint"))
 
 
