@@ -308,7 +308,7 @@ def _find(scope: Scope, a) -> Frame:
         names = f.names | {n: Typed(x.col, "null") for n, x in missing.items()}
         df = f.df.filter(Binder(f.names, scope).predicate(where) if isinstance(where, t.Binary) and isinstance(where.left, t.Star) else Binder(names, scope).predicate(where))
         out = {a["source"]: ty.literal(name, "string")}
-        pack = lambda left: Typed(json_object([(F.lit(n), as_json(f.names[n])) for n in left]) if left else F.lit("{}"), "dynamic")
+        pack = lambda left: Typed(json_object([(n, as_json(f.names[n])) for n in left]) if left else F.lit("{}"), "dynamic")
         if a["columns"]:
             asked = [n for n, _ in a["columns"]]
             for n, k in a["columns"]:

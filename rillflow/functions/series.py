@@ -43,17 +43,17 @@ def _forward(values: Column) -> Column:
 
 @function("series_fill_forward")
 def fill_forward(x, placeholder=None):
-    return dynamic(json_reals(_forward(_missing(x, placeholder))))
+    return numbers(_forward(_missing(x, placeholder)))
 
 
 @function("series_fill_backward")
 def fill_backward(x, placeholder=None):
-    return dynamic(json_reals(F.reverse(_forward(F.reverse(_missing(x, placeholder))))))
+    return numbers(F.reverse(_forward(F.reverse(_missing(x, placeholder)))))
 
 
 @function("series_fill_const")
 def fill_const(x, value, placeholder=None):
-    return dynamic(json_reals(F.transform(_missing(x, placeholder), lambda v: F.coalesce(v, ty.as_real(value)))))
+    return numbers(F.transform(_missing(x, placeholder), lambda v: F.coalesce(v, ty.as_real(value))))
 
 
 @function("series_fill_linear")
@@ -76,7 +76,7 @@ def fill_linear(x, placeholder=None, edges=None, constant=None):
 
         return F.transform(s["v"], one)
 
-    return dynamic(json_reals(let(_missing(x, placeholder), filled)))
+    return numbers(let(_missing(x, placeholder), filled))
 
 
 def total(values: Column, start: float, step) -> Column:
@@ -131,7 +131,7 @@ def stats(x):
     def shown(m: Column) -> Column:
         place = lambda y: F.coalesce((F.array_position(m["all"], y) - 1).cast("string"), F.lit("null"))
         pairs = {"min": text(m["low"]), "min_idx": place(m["low"]), "max": text(m["high"]), "max_idx": place(m["high"]), "avg": text(m["mean"]), "variance": text(m["variance"]), "stdev": text(F.sqrt(m["variance"])), "sum": text(m["sum"]), "len": F.size(m["all"]).cast("string")}
-        return json_object([(F.lit(k), c) for k, c in pairs.items()])
+        return json_object(list(pairs.items()))
 
     def out(all_: Column) -> Column:
         v = F.filter(all_, lambda y: y.isNotNull())

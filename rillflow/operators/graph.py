@@ -123,7 +123,7 @@ def graph_match(scope, graph, op):
     for i, e in enumerate(edges):
         name = e["name"]
         step = graph.edges.df
-        record = json_object([(F.lit(c), as_json(x)) for c, x in graph.edges.names.items()])
+        record = json_object([(c, as_json(x)) for c, x in graph.edges.names.items()])
         cols = [ref(c).alias(f"{name}.{c}") for c in graph.edges.types] if name in needed and not e["many"] else []
         keep = [record.alias("__record")] if name in needed and e["many"] else []
         one = lambda x, y: step.select(F.col(x).alias("__x"), F.col(y).alias("__y"), "__eid", *cols, *keep)
