@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans import typed as ty
 from ..plans.typed import Typed, text
-from .registry import boolean, dynamic, function, in_pandas, json_object, json_text, long, string, texts
+from .registry import boolean, dynamic, function, in_pandas, json_object, json_text, let, long, string, texts
 
 QUAD = r"^\s*(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:/(\d{1,2}))?\s*$"
 
@@ -285,15 +285,15 @@ def parse_url(x):
     s = text(x)
     p = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^:/?#]*)(?::(\d*))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
     names = {"Scheme": 1, "Host": 2, "Port": 3, "Path": 4, "Query": 5, "Fragment": 6}
-    return dynamic(F.when(s.isNotNull(), json_object([(F.lit(k), json_text(F.regexp_extract(s, p, g))) for k, g in names.items()])))
+    return dynamic(F.when(s.isNotNull(), json_object([(k, json_text(F.regexp_extract(s, p, g))) for k, g in names.items()])))
 
 
 @function("parse_urlquery")
 def parse_urlquery(x):
     s = F.regexp_replace(text(x), r"^\?", "")
-    parts = F.filter(F.split(s, "&"), lambda p: p != "")
     key = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: key(q) == key(p)))
+    last = lambda parts: F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda q: key(q) == key(p)))
+    kept = let(F.filter(F.split(s, "&"), lambda p: p != ""), last)
     pairs = F.array_sort(F.transform(kept, lambda p: F.struct(key(p).alias("k"), F.when(p.contains("="), F.substring(p, F.length(key(p)) + 2, F.length(p))).otherwise("").alias("v"))))
     return dynamic(F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(json_text(p["k"]), F.lit(":"), json_text(p["v"]))), ","), F.lit("}")))
 
@@ -305,7 +305,7 @@ def parse_path(x):
     folder, name = F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2)
     extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     bare = F.regexp_replace(name, r"\.[^.]*$", "")
-    return dynamic(F.when(s.isNotNull(), json_object([(F.lit("DirectoryName"), json_text(folder)), (F.lit("FileName"), json_text(name)), (F.lit("Extension"), json_text(extension)), (F.lit("FileNameNoExtension"), json_text(bare))])))
+    return dynamic(F.when(s.isNotNull(), json_object([("DirectoryName", json_text(folder)), ("FileName", json_text(name)), ("Extension", json_text(extension)), ("FileNameNoExtension", json_text(bare))])))
 
 
 def split_command(line: str | None, kind: str = "windows") -> str | None:
