@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..plans.typed import text
-from .registry import dynamic, function, in_pandas, real, reals
+from .registry import dynamic, function, in_pandas, let, real, reals
 from .series import total
 
 
@@ -37,18 +37,23 @@ def embed_text(x, model=None):
     return dynamic(in_pandas(lambda s: None if s is None else json.dumps([int(v) if float(v).is_integer() else float(v) for v in f(s, name)], separators=(",", ":")), "string", text(x)))
 
 
-def _dot(a, b):
-    x, y = reals(a), reals(b)
+def _both(a, b, f):
+    """f of the numbers of both, each parsed once."""
+    return let(F.struct(reals(a).alias("x"), reals(b).alias("y")), lambda s: f(s["x"], s["y"]))
+
+
+def _dot(x, y):
     same = F.when(F.size(x) != F.size(y), F.raise_error(F.lit("vectors of different lengths")).cast("double"))
     return F.coalesce(same, total(F.zip_with(x, y, lambda p, q: p * q), 0.0, lambda s, v: s + v))
 
 
 @function("series_dot_product")
 def dot_product(a, b):
-    return real(F.when(reals(a).isNotNull() & reals(b).isNotNull(), _dot(a, b)))
+    return real(_both(a, b, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), _dot(x, y))))
 
 
 @function("series_cosine_similarity")
 def cosine(a, b):
-    norm = F.sqrt(total(reals(a), 0.0, lambda s, v: s + v * v)) * F.sqrt(total(reals(b), 0.0, lambda s, v: s + v * v))
-    return real(F.when(norm > 0, _dot(a, b) / F.when(norm > 0, norm)).when(norm == 0, 0.0))
+    length = lambda v: F.sqrt(total(v, 0.0, lambda s, e: s + e * e))
+    out = lambda x, y: let(length(x) * length(y), lambda norm: F.when(norm > 0, _dot(x, y) / F.when(norm > 0, norm)).when(norm == 0, 0.0))
+    return real(_both(a, b, out))
