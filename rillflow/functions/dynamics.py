@@ -17,7 +17,7 @@ from .registry import array, boolean, dynamic, function, in_pandas, json_array,
 
 def jsons(x: Typed) -> Column:
     """The elements of a dynamic array as JSON texts."""
-    return F.transform(array(x), lambda v: F.coalesce(F.to_json(v), F.lit("null")))
+    return F.transform(array(x), lambda v: F.coalesce(F.to_json(v), F.lit("null"))) if x.jsons is None else x.jsons
 
 
 @function("dynamic")
@@ -27,7 +27,7 @@ def dynamic_(x):
 
 @function("array_length")
 def array_length(x):
-    return long(F.when(array(x).isNotNull(), F.size(array(x))))
+    return long(F.array_size(array(x) if x.jsons is None else x.jsons))
 
 
 @function("strcat_array")
@@ -37,7 +37,7 @@ def strcat_array(x, delimiter):
 
 @function("array_concat")
 def array_concat(*xs):
-    return dynamic(json_array(F.concat(*[F.coalesce(jsons(x), F.array().cast("array<string>")) for x in xs])))
+    return listed(F.concat(*[F.coalesce(jsons(x), F.array().cast("array<string>")) for x in xs]))
 
 
 @function("array_index_of")
@@ -47,12 +47,11 @@ def array_index_of(x, value):
 
 def _sorted(x: Typed, descending: bool):
     """By text, numbers by value where all are numbers."""
-    items, names = jsons(x), texts(x)
-    keyed = F.transform(F.arrays_zip(F.transform(names, lambda v: v.try_cast("double")).alias("n"), names.alias("t"), items.alias("j")), lambda z: F.struct(z["n"].alias("n"), z["t"].alias("t"), z["j"].alias("j")))
-    numeric = F.forall(array(x), lambda v: ~F.schema_of_variant(v).isin("STRING", "BOOLEAN", "VOID"))
-    by_number = F.transform(F.array_sort(keyed), lambda z: z["j"])
-    by_text = F.transform(F.array_sort(F.transform(keyed, lambda z: F.struct(z["t"].alias("t"), z["j"].alias("j")))), lambda z: z["j"])
-    out = F.when(numeric, by_number).otherwise(by_text)
+    item = lambda v: F.struct(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)).alias("t"), F.coalesce(F.to_json(v), F.lit("null")).alias("j"), (~F.schema_of_variant(v).isin("STRING", "BOOLEAN", "VOID")).alias("numeric"))
+    number = lambda z: F.struct(z["t"].try_cast("double").alias("n"), z["t"].alias("t"), z["j"].alias("j"))
+    by_text = lambda s: F.array_sort(F.transform(s, lambda z: F.struct(z["t"].alias("t"), z["j"].alias("j"))))
+    one = lambda s: F.when(F.forall(s, lambda z: z["numeric"]), F.transform(F.array_sort(F.transform(s, number)), lambda z: z["j"])).otherwise(F.transform(by_text(s), lambda z: z["j"]))
+    out = let(F.transform(array(x), item), one)
     return dynamic(json_array(F.reverse(out) if descending else out))
 
 
@@ -68,16 +67,18 @@ def array_sort_desc(x):
 
 @function("array_reverse")
 def array_reverse(x):
-    return dynamic(json_array(F.reverse(jsons(x))))
+    return listed(F.reverse(jsons(x)))
 
 
 @function("array_slice")
 def array_slice(x, start, end):
-    items = jsons(x)
-    n = F.size(items)
-    a, b = (F.when(ty.as_long(v) < 0, n + ty.as_long(v)).otherwise(ty.as_long(v)) for v in (start, end))
-    a, b = F.greatest(a, F.lit(0)), F.least(b, n - 1)
-    return dynamic(json_array(F.filter(items, lambda _, i: (i >= a) & (i <= b))))
+    place = lambda v, n: F.when(v < 0, n + v).otherwise(v)
+
+    def within(s: Column) -> Column:
+        a, b, n = s["a"], s["b"], F.size(s["items"])
+        return F.filter(s["items"], lambda _, i: (i >= F.greatest(place(a, n), F.lit(0))) & (i <= F.least(place(b, n), n - 1)))
+
+    return listed(let(F.struct(jsons(x).alias("items"), ty.as_long(start).alias("a"), ty.as_long(end).alias("b")), within))
 
 
 @function("bag_keys")
@@ -92,7 +93,7 @@ def bag_has_key(x, key):
 
 @function("pack", "bag_pack", "pack_dictionary")
 def pack(*xs):
-    return dynamic(json_object([(text(k), as_json(v)) for k, v in zip(xs[::2], xs[1::2])]) if xs else F.lit("{}"))
+    return dynamic(json_object([(k.value if k.const and isinstance(k.value, str) and k.type == "string" else text(k), as_json(v)) for k, v in zip(xs[::2], xs[1::2])]) if xs else F.lit("{}"))
 
 
 @function("pack_array")
@@ -129,9 +130,9 @@ def parse_csv(x):
 
 
 def _shifted(x: Typed, n: Typed, default: Typed | None, sign: int):
-    items, k = jsons(x), ty.as_long(n) * sign
-    fill = as_json(default) if default is not None else F.lit("null")
-    return dynamic(json_array(F.transform(items, lambda _, i: F.coalesce(F.when(i + k >= 0, F.get(items, (i + k).cast("int"))), fill))))
+    parts = F.struct(jsons(x).alias("items"), (ty.as_long(n) * sign).alias("k"), (as_json(default) if default is not None else F.lit("null")).alias("fill"))
+    moved = lambda s: F.transform(s["items"], lambda _, i: F.coalesce(F.when(i + s["k"] >= 0, F.get(s["items"], (i + s["k"]).cast("int"))), s["fill"]))
+    return dynamic(json_array(let(parts, moved)))
 
 
 @function("array_shift_left")
