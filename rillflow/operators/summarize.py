@@ -61,7 +61,7 @@ def summarize(scope, frame, op):
     ordered = any(i.expr.name in ag.ORDERED for i in calls)
     if ordered and frame.order:
         # The sort is a range shuffle; numbers rise from one of its partitions to the next, with no window over all rows.
-        frame = frame.with_df(frame.df.orderBy(*frame.sort_columns()).withColumn(ORDER, F.monotonically_increasing_id()))
+        frame = frame.with_df(frame.df.orderBy(*frame.sort_columns(), *([ref(ORDER)] if ORDER in frame.df.columns else [])).withColumn(ORDER, F.monotonically_increasing_id()))
     elif ordered:
         frame = frame.numbered()
     bind = scope.binder(frame)
