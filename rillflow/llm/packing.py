@@ -212,17 +212,17 @@ def _place() -> int:
 
 def cut(batches: Iterator[pa.RecordBatch], file: str, pattern: str, length: int) -> Iterator[pa.RecordBatch]:
     """Whole windows, rests, and at the end the counts of ids of one partition."""
-    cache = tokenizer_files.IdCache(file, pattern)
-    end = np.array([END], dtype="<u4").tobytes()
+    cache = tokenizer_files.id_cache(file, pattern)
+    end = np.array([END], dtype="<u4")
     schema = _schema(("row", pa.int64()), ("terms", pa.list_(pa.int32())), ("holders", pa.list_(pa.int64())), ("documents", pa.int64()))
     row, documents = _place(), 0
     sequence = row | 1 << 39  # not those of Packer
     holders, last = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for batch in batches:
         out = []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = cache.encode(text.as_py() or "") + end
-            ids = np.frombuffer(data, dtype="<u4")
+        for name, known in zip(batch.column(0).to_pylist(), cache.encode_all(batch.column(1))):
+            ids = np.concatenate((known, end))
+            data = ids.tobytes()
             if (more := int(ids.max()) + 1 - len(last)) > 0:
                 holders, last = np.pad(holders, (0, more)), np.pad(last, (0, more))
             at = np.arange(len(ids))

@@ -5,16 +5,23 @@ from __future__ import annotations
 import base64
 import json
 import os
+import sys
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-from .pretokens import PartCache, library_piece
+from .hashing import buffers, spans
+from .pretokens import PartCache, PartStore, library_piece, library_pieces, odd
 
 IDS, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Bytes of texts whose parts are looked up together; a longer text is encoded alone, part by part.
+TOGETHER = 1 << 23
 
 
 def path(name: str, folder: str | None = None) -> str:
@@ -54,10 +61,32 @@ class IdCache:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that take spaces or whole words are not supported")
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
-        self.parts = PartCache(pattern, library_piece(Tokenizer.from_str(file)), limit=600_000)
+        tokenizer = Tokenizer.from_str(file)
+        self.parts = PartCache(pattern, library_piece(tokenizer), limit=200_000)
+        self.store = PartStore(pattern, library_pieces(tokenizer), self.parts.line)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
 
     def encode(self, text: str) -> bytes:
         if not any(t in text for t in self.added):
             return self.parts.encode(text)
         return b"".join([self.added[x] if k % 2 else self.parts.encode(x) for k, x in enumerate(self.cut(text))])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty, in order."""
+        _, offsets = buffers(texts)
+        for i, j in spans(offsets, TOGETHER):
+            some = texts.slice(i, j - i).fill_null("")
+            whole = some.to_numpy(zero_copy_only=False).tolist()
+            plain = [len(x) <= TOGETHER and not odd(x) and not any(t in x for t in self.added) for x in whole]
+            found = iter(self.store.encode(some if all(plain) else some.filter(pa.array(plain))))
+            for text, known in zip(whole, plain):
+                yield next(found) if known else np.frombuffer(self.encode(text), dtype="<u4")
+
+
+def id_cache(file: str, pattern: str) -> IdCache:
+    """This worker process's own: words that one task met are known to its next.  ``sys`` holds it, as code that travels by value has no module there."""
+    held = sys.__dict__.setdefault("_rillflow_ids", {})
+    if (file, pattern) not in held:
+        held.clear()
+        held[file, pattern] = IdCache(file, pattern)
+    return held[file, pattern]

@@ -299,6 +299,31 @@ def test_bpe_merges_of_long_words():
         assert bpe.merged(word.encode(), ranks) == enc.encode_ordinary(word)
 
 
+def test_ids_of_many_texts_come_from_words_met_before(rows):
+    """Equal to the plain call; a word is encoded once for all texts, and not again by the next task of a process."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = open(tokenizer_files.path(tokenizer_files.IDS), encoding="utf-8").read()
+    library = Tokenizer.from_str(file)
+    texts = [t for _, t in rows[:120]] + ["it's 3.5, don't.\n(x) \"q\"... 'll we'll,\nA1b2 1st, \u00bd e\u0301", "a\nb", "\nlead", "", None, "word, word. word\nWord? word"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    cache = tokenizer_files.id_cache(file, tokenizer_files.pattern())
+    for kind, limit in ((pa.string(), 600_000), (pa.large_string(), 20)):
+        cache.store.limit = limit
+        for _ in range(2):
+            got = [x.tolist() for x in cache.encode_all(pa.array(["cut off", *texts], kind).slice(1))]
+            assert got == want
+    cache.store.limit, calls, pieces = 600_000, [], cache.store.pieces
+    list(cache.encode_all(pa.array(texts)))
+    cache.store.pieces = lambda x: calls.append(x) or pieces(x)
+    again = tokenizer_files.id_cache(file, tokenizer_files.pattern())
+    assert [x.tolist() for x in again.encode_all(pa.array(texts[::-1]))] == want[::-1] and not calls
+    list(again.encode_all(pa.array(["a qzqzq known", "known qzqzq", "b qzqzq, word"])))
+    assert "".join(calls).split().count("qzqzq") == 1
+    cache.store.pieces = pieces
+
+
 def test_token_files(spark, docs, rows, empty, repeated):
     from tokenizers import Tokenizer
 
