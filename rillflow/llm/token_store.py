@@ -74,14 +74,14 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
 
 
 def pages(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    cache = tokenizer_files.IdCache(file, pattern)
-    end = np.array([END], dtype="<u4").tobytes()
+    cache = tokenizer_files.id_cache(file, pattern)
+    end = np.array([END], dtype="<u4")
     context = TaskContext.get()
     shard = context.partitionId() if context else 0
     page, first, held, names, sizes, total = 0, 0, [], [], [], 0
 
     def closed() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(held), dtype="<u4")
+        ids = np.concatenate(held)
         blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
         starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]]).astype(np.int32)
         one = lambda x, kind: pa.array([x], kind)
@@ -91,11 +91,10 @@ def pages(batches: Iterator[pa.RecordBatch], file: str, pattern: str) -> Iterato
         )
 
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = cache.encode(text.as_py() or "") + end
-            held.append(ids)
+        for name, ids in zip(batch.column(0).to_pylist(), cache.encode_all(batch.column(1))):
+            held += ids, end
             names.append(name)
-            sizes.append(len(ids) // 4)
+            sizes.append(len(ids) + 1)
             total += sizes[-1]
             if total >= PAGE:
                 yield closed()
