@@ -76,24 +76,25 @@ class Index:
     """BM25 scores of a shard's documents for one of them; without ``stats`` the shard is the corpus."""
 
     def __init__(self, docs: list[np.ndarray], common: float = 0.25, stats: Stats | None = None):
-        pairs = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([t for t, _ in pairs])
-        tf = np.concatenate([c for _, c in pairs]).astype(np.float64)
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in pairs])
-        self.terms, place = np.unique(term, return_inverse=True)
-        df = np.bincount(place)
+        ids = np.concatenate(docs).astype(np.int64)
+        most = int(ids.max(initial=0)) + 1
+        key, tf = np.unique(np.repeat(np.arange(len(docs)) * most, [len(d) for d in docs]) + ids, return_counts=True)
+        doc, term, tf = key // most, key % most, tf.astype(np.float64)
+        df = np.bincount(term)
+        self.terms = np.flatnonzero(df)
+        place, df = (np.cumsum(df > 0) - 1)[term], df[self.terms]
         idf = stats.idf[self.terms] if stats else np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         size = np.array([len(d) for d in docs], dtype=np.float64)
         weight = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / (stats.mean if stats else size.mean())))
         often = df > max(2, common * len(docs))
         use = ~often[place] & (df > 1)[place]
-        order = np.flatnonzero(use)[np.argsort(place[use], kind="stable")]
+        order = np.flatnonzero(use)[np.argsort(place[use].astype(np.min_scalar_type(len(self.terms))), kind="stable")]
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.dense = np.zeros((often.sum(), len(docs)))
         self.dense[self.row[place[often[place]]], doc[often[place]]] = weight[often[place]]
         self.doc, self.weight = doc[order], weight[order]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(place[order], minlength=len(self.terms)))])
-        self.own = np.split(place, np.cumsum([len(t) for t, _ in pairs])[:-1])
+        self.own = np.split(place, np.cumsum(np.bincount(doc, minlength=len(docs)))[:-1])
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
